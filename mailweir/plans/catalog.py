@@ -1,10 +1,259 @@
-"""The registered queries of the message operators, with their SQL."""
+"""The registered queries of the message operators, with their SQL.
+
+Messages are made up from columns of the tables, so that each operator's result can be stated in SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailweir.functions import text as fn
+from mailweir.operators import allow, configdiff, replies, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a query under its function's name."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+ALLOWED = ["ththre.example.com", "*.example.org", "*.net"]
+_HOST = r"regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+_ALLOWS = f"(lower({_HOST}) = 'ththre.example.com' OR regexp_matches(lower({_HOST}), '^[^/]*\\.example\\.org$') OR regexp_matches(lower({_HOST}), '^[^/]*\\.net$'))"
+
+
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
+
+
+@query(f"""
+SELECT page_id, {_HOST} AS host, {_ALLOWS} AS allowed,
+       CASE WHEN {_ALLOWS} THEN '250 2.1.5 OK' ELSE '454 4.1.1 Error: Relay access denied: ' || {_HOST} END AS reply
+FROM pages""")
+def q01_relay_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relay decision and reply for the host of every page."""
+    judged = _hosts(spark, sf_dir).withColumn("allowed", allow.allows_host(F.col("host"), ALLOWED))
+    status = judged.withColumn("status", F.when(F.col("allowed"), "2.1.5").otherwise("4.1.1"))
+    denied = F.concat(F.lit("454 4.1.1 Error: Relay access denied: "), F.col("host"))
+    return replies.with_reply(status).select("page_id", "host", "allowed", F.when(F.col("allowed"), F.col("reply")).otherwise(denied).alias("reply"))
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages WHERE lower({_HOST}) IN (SELECT DISTINCT lower({_HOST}) FROM pages WHERE page_id % 3 = 0)")
+def q02_allowed_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = _hosts(spark, sf_dir)
+    return allow.split_by_exact_list(hosts, "host", hosts.where("page_id % 3 = 0"))
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages WHERE lower({_HOST}) NOT IN (SELECT DISTINCT lower({_HOST}) FROM pages WHERE page_id % 3 = 0)")
+def q02_denied_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = _hosts(spark, sf_dir)
+    return allow.split_by_exact_list(hosts, "host", hosts.where("page_id % 3 = 0"), keep=False)
+
+
+@query("SELECT * FROM (SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS position FROM events) WHERE position <= 60")
+def q03_recipient_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return sessions.cap_rows(events, "user_id", ["ts", "event_id"], 60).drop("ts")
+
+
+@query("""
+SELECT doc_id, strlen(text) AS bytes,
+       CASE WHEN strlen(text) > 5000 THEN '550' WHEN strlen(text) > 3000 THEN '451' ELSE '250' END AS code
+FROM documents""")
+def q04_body_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("text").cast("bigint")
+    return table(spark, sf_dir, "documents").select("doc_id", size.alias("bytes"), F.when(size > 5000, "550").when(size > 3000, "451").otherwise("250").alias("code"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN strlen(split_part(text, ' ', 1)) + strlen(split_part(text, '.', 1)) + 3 > 256 THEN '550 5.5.4 Path too long'
+  WHEN strlen(split_part(text, ' ', 1)) > 128 THEN '550 5.5.4 Local part too long'
+  WHEN strlen(split_part(text, '.', 1)) > 255 THEN '550 5.5.4 Domain cannot exceed 255 characters' ELSE '250 2.1.0 OK' END AS reply FROM documents""")
+def q05_path_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, local part and domain against their limits in bytes, in this order."""
+    local, domain = F.octet_length(F.split_part("text", F.lit(" "), F.lit(1))), F.octet_length(F.split_part("text", F.lit("."), F.lit(1)))
+    reply = (
+        F.when(local + domain + 3 > 256, "550 5.5.4 Path too long").when(local > 128, "550 5.5.4 Local part too long")
+        .when(domain > 255, "550 5.5.4 Domain cannot exceed 255 characters").otherwise("250 2.1.0 OK")
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", reply.alias("reply"))
+
+
+def _recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("rcpt"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return orders.join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+_RCPT = "(SELECT o_orderkey, o_orderstatus, o_orderpriority, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS rcpt FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)"
+
+
+@query(f"""
+SELECT o_orderkey, CAST(i AS INTEGER) AS position, md5(o_orderstatus || o_orderpriority || array_to_string(rcpt[1:i], '')) AS hash
+FROM (SELECT *, unnest(range(1, len(rcpt) + 1)) AS i FROM {_RCPT})""")
+def q08_hasher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of sender, subject and all recipients so far, for every recipient."""
+    hashes = fn.cumulative_md5(F.concat("o_orderstatus", "o_orderpriority"), F.col("rcpt"))
+    rows = _recipients(spark, sf_dir).select("o_orderkey", F.posexplode(hashes).alias("p", "hash"))
+    return rows.select("o_orderkey", (F.col("p") + 1).alias("position"), "hash")
+
+
+@query("""
+SELECT o_orderkey, 'Delivered-To: c' || o_custkey || '@mail.test' || chr(10) || 'Received: from 10.0.0.1 ([10.0.0.1])' || chr(10) || chr(9) || 'by host.test with '
+  || CASE WHEN o_orderstatus = 'F' THEN 'E' ELSE '' END || 'SMTP' || CASE WHEN o_custkey % 2 = 0 THEN 'S' ELSE '' END
+  || ' id ' || md5(CAST(o_orderkey AS VARCHAR)) || '@host.test;' || chr(10) || chr(9) || 'Thu, 01 Jan 1970 00:00:00 +0000' || chr(10) AS header
+FROM orders""")
+def q10_delivery_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    label = fn.protocol_label(F.col("o_orderstatus") == "F", F.col("o_custkey") % 2 == 0)
+    user = F.concat(F.lit(" c"), F.col("o_custkey").cast("string"))
+    header = fn.delivery_header(user, F.lit("mail.test"), F.lit("10.0.0.1"), F.lit("host.test"), label, F.md5(F.col("o_orderkey").cast("string").cast("binary")), F.lit("Thu, 01 Jan 1970 00:00:00 +0000"))
+    return orders.select("o_orderkey", header.alias("header"))
+
+
+@query(f"SELECT o_orderkey, unnest(rcpt) AS recipient, md5(o_orderstatus || o_orderpriority || rcpt[1]) AS hash, 'order ' || o_orderkey AS subject FROM {_RCPT}")
+def q11_mail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored row for each recipient; all carry the first hash."""
+    first = fn.cumulative_md5(F.concat("o_orderstatus", "o_orderpriority"), F.col("rcpt"))[0]
+    return _recipients(spark, sf_dir).select("o_orderkey", F.explode("rcpt").alias("recipient"), first.alias("hash"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("subject"))
+
+
+@query("SELECT doc_id, lower(hex(CASE WHEN strlen(text) > 255 THEN encode(text)[1:255] ELSE encode(trim(text, ' ')) END)) AS prefix FROM documents")
+def q12_trim_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(fn.trim_bytes(F.col("text"), 255))).alias("prefix"))
+
+
+@query("SELECT event_id, CAST(user_id % 256 AS BIGINT) * 16777216 + CAST(event_id % 256 AS BIGINT) * 65536 + 7 * 256 + 9 AS ip FROM events")
+def q13_ipv4_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quad = F.concat_ws(".", (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("7"), F.lit("9"))
+    return table(spark, sf_dir, "events").select("event_id", fn.ipv4_number(quad).alias("ip"))
+
+
+@query(f"""
+SELECT event_id, s.status, CAST(coalesce(d.code, CAST(s.status[1] AS INTEGER) * 100) AS INTEGER) AS basic_code,
+       coalesce(d.code, CAST(s.status[1] AS INTEGER) * 100) || ' ' || s.status || ' ' ||
+       coalesce(d.txt, CASE s.status[1] WHEN '2' THEN 'OK' WHEN '4' THEN 'Temporary failure.' WHEN '5' THEN 'Permanent failure.' ELSE '' END) AS reply
+FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '4' ELSE '5' END || '.' || (event_id % 8) || '.' || (event_id % 6) AS status FROM events) s
+LEFT JOIN {replies.sql_dimension()} ON s.status = d.status""")
+def q14_reply_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    status = F.concat(F.when(e % 3 == 0, "2").when(e % 3 == 1, "4").otherwise("5"), F.lit("."), (e % 8).cast("string"), F.lit("."), (e % 6).cast("string"))
+    return replies.with_reply(table(spark, sf_dir, "events").select("event_id", status.alias("status")))
+
+
+@query("""
+SELECT event_id, user_id, CAST(b AS BIGINT) AS bad_so_far FROM (
+  SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM events)
+WHERE b < 5 OR (b = 5 AND event_type = 'error')""")
+def q15_kill_after_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return sessions.kill_after(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "user_id", "bad_so_far")
+
+
+@query("SELECT user_id, count(*) FILTER (value < 100) AS accepted, count(*) AS lines FROM events GROUP BY user_id")
+def q16_accepted_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") < 100).alias("accepted"), F.count(F.lit(1)).alias("lines"))
+
+
+@query("""
+SELECT event_id, user_id, CAST(coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS transaction FROM events""")
+def q18_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return sessions.transactions(events, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "user_id", "transaction")
+
+
+@query("""
+WITH g AS (SELECT event_id, user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 30000000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS island FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY t, event_id) - 1 AS r FROM i)
+SELECT event_id, user_id, CAST(island AS INTEGER) AS island, CAST(r // 3 AS INTEGER) AS batch, CAST(r % 3 AS INTEGER) AS place FROM n""")
+def q19_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert batches of each user: three rows, or thirty thousand idle seconds."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", micros.alias("at"))
+    return sessions.batches(events, "user_id", "at", "event_id", 3, 30_000_000_000).drop("at")
+
+
+@query("""
+SELECT user_id, max(epoch_us(ts)) AS at, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id
+HAVING max(epoch_us(ts)) + 40000000000 > (SELECT max(epoch_us(ts)) FROM events)""")
+def q20_expiring_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").select("user_id", micros.alias("at"), "event_id")
+    now = events.agg(F.max("at")).first()[0] or 0
+    return sessions.last_write(events, "user_id", "at", "event_id", now, 40_000_000_000)
+
+
+@query("""
+WITH o AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 11 <> 0),
+n AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name || 'x' ELSE c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 13 <> 0),
+b AS (SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, o.c_custkey IS NULL AS isnew, n.c_custkey IS NULL AS gone, o.c_name IS DISTINCT FROM n.c_name AS d1, o.c_nationkey IS DISTINCT FROM n.c_nationkey AS d2 FROM o FULL OUTER JOIN n ON o.c_custkey = n.c_custkey)
+SELECT c_custkey, 'new' AS event, NULL AS field FROM b WHERE isnew UNION ALL SELECT c_custkey, 'removed', NULL FROM b WHERE gone
+UNION ALL SELECT c_custkey, 'changed', 'c_name' FROM b WHERE NOT isnew AND NOT gone AND d1 UNION ALL SELECT c_custkey, 'changed', 'c_nationkey' FROM b WHERE NOT isnew AND NOT gone AND d2""")
+def q21_config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    new = c.where(k % 13 != 0).withColumns({"c_name": F.when(k % 7 == 0, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name")), "c_nationkey": F.when(k % 5 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey"))})
+    return configdiff.diff(c.where(k % 11 != 0), new, "c_custkey", ["c_name", "c_nationkey", "c_mktsegment"])
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '"' || replace(replace(c_name || '"', '\\', '\\\\'), '"', '\\"') || '"' ELSE c_name || '"' END
+  || '@' || CASE WHEN c_custkey % 3 = 0 THEN '[10.0.0.1]' ELSE 'a.test' END AS address FROM customer""".replace("\\\\", "\\"))
+def q24_address_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    literal = k % 3 == 0
+    text = fn.address_text(F.concat("c_name", F.lit('"')), F.when(literal, "10.0.0.1").otherwise("a.test"), k % 4 == 0, literal)
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("address"))
+
+
+@query("""
+SELECT event_id, coalesce(TRY_CAST(substr(trim(CASE event_id % 3 WHEN 0 THEN ' 250 OK' WHEN 1 THEN 'error' ELSE CAST(400 + event_id % 60 AS VARCHAR) || ' x' END), 1, 3) AS INTEGER), 554) AS code FROM events""")
+def q25_result_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, " 250 OK").when(e % 3 == 1, "error").otherwise(F.concat((400 + e % 60).cast("string"), F.lit(" x")))
+    return table(spark, sf_dir, "events").select("event_id", fn.result_code(text).alias("code"))
+
+
+@query("SELECT doc_id, md5('.' || text) AS body FROM documents")
+def q26_dot_unstuffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies as sent, from bodies as transferred."""
+    body = fn.unstuff_dots(fn.stuff_dots(F.concat(F.lit("."), F.col("text"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(body.cast("binary")).alias("body"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE md5(CAST(o_orderkey AS VARCHAR)) = md5('7')")
+def q30_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
+    return table(spark, sf_dir, "orders").where(hashed == F.md5(F.lit(b"7"))).select("o_orderkey", "o_custkey")
+
+
+@query("""
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'MAIL FROM:' WHEN 'assistant' THEN 'RCPT TO:' WHEN 'system' THEN 'HELO' END AS verb FROM conversations""")
+def q31_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.when(F.col("role") == "user", "mail from:<").when(F.col("role") == "assistant", "Rcpt To:<").when(F.col("role") == "system", "helo ").otherwise("blah "), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.verb(line).alias("verb"))
+
+
+@query("""
+SELECT event_id, CASE WHEN g > 30000000000 THEN '554 Error: transaction timeout' ELSE '250 2.0.0 OK' END AS reply
+FROM (SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS g FROM events)""")
+def q32_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = F.coalesce(micros - F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(0))
+    return table(spark, sf_dir, "events").select("event_id", F.when(gap > 30_000_000_000, "554 Error: transaction timeout").otherwise("250 2.0.0 OK").alias("reply"))
