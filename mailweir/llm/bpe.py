@@ -31,6 +31,8 @@ from mailweir.llm.common import MAX_BROADCAST_BYTES, add_columns, read_table
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers in each of two generations.
 CACHE_PIECES = 300_000
+#: New pieces that are encoded at a time.
+ENCODE_PIECES = 50_000
 #: Longest word, in symbols, that is merged beside others; longer ones go one by one.
 BESIDE = 65
 
@@ -47,16 +49,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(text: str) -> list[str]:
-    """Cut a text where every pre-tokenizer of this family cuts."""
+def pieces(text: str) -> tuple[str, list[str]]:
+    """Cut a text where every pre-tokenizer of this family cuts: its first piece, and the others without their leading space."""
     if _TWO_SPACES.search(text):
-        return _SAFE_CUT.split(text)
+        first, *rest = _SAFE_CUT.split(text)
+        return first, [x[1:] for x in rest]
     first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+    return first, rest
 
 
 class PieceCache:
-    """Piece -> packed ids, in two generations of bounded size."""
+    """Packed ids of texts by way of their pieces, which are kept in two generations of bounded size."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES) -> None:
         self.encode, self.most, self.young, self.old = encode, most, {}, {}
@@ -67,11 +70,15 @@ class PieceCache:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         cut = [pieces(t) for t in texts]
-        new = set().union(*cut).difference(young) if cut else set()
+        firsts = dict.fromkeys(f for f, _ in cut)
+        firsts = dict(zip(firsts, self.encode(list(firsts)), strict=True))
+        new = set().union(*(rest for _, rest in cut)).difference(young)
         young.update((p, old[p]) for p in new & old.keys())
         todo = [p for p in new if p not in young]
-        young.update(zip(todo, self.encode(todo), strict=True))
-        return [b"".join([young[p] for p in c]) for c in cut]
+        for start in range(0, len(todo), ENCODE_PIECES):
+            part = todo[start : start + ENCODE_PIECES]
+            young.update(zip(part, self.encode([" " + p for p in part]), strict=True))
+        return [firsts[f] + b"".join([young[p] for p in rest]) for f, rest in cut]
 
 
 def byte_letters() -> dict[str, int]:
@@ -299,9 +306,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     return add_columns(df, ids, [(text, "string")], make)
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """`encode` and then `decode`, in one pass through Python."""
+    shared = load(df.sparkSession, path)
+
+    def make():
+        model = worker_model("bpe", shared.value, Bpe)
+
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            packed = model.encode([t or "" for t in batch.column(text).to_pylist()])
+            return [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array([model.decode(p) for p in packed], pa.string())]
+
+        return work
+
+    return add_columns(df, text, [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "string")], make)
+
+
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
-    coded = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids"), path)
+    coded = round_trip(docs.select("doc_id", "text"), path).drop("text")
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -16,6 +16,7 @@ ordered by their ids. Extra columns are left out of the files.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailweir.llm.bpe import PieceCache, load, vocabulary, worker_model
-from mailweir.llm.common import add_columns, fresh_path, partitions, read_table
+from mailweir.llm.common import fresh_path, partitions, read_table, slices
 
 #: Ends every block; ids, offsets and slots of a block are checked not to hold it.
 TRAILER = "\n=end of token block=\n"
@@ -150,8 +151,36 @@ class LibraryEncoder:
 
         self.model = Tokenizer.from_str(content.decode())
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        kind = f"<u{self.width}"
-        self.cache = PieceCache(lambda todo: [np.array(e.ids, kind).tobytes() for e in self.model.encode_batch_fast(todo, add_special_tokens=False)] if todo else [])
+        self.kind = f"<u{self.width}"
+        spec = json.loads(content)
+        self.sizes = None
+        if spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]:
+            self.sizes = np.zeros(self.model.get_vocab_size(), np.int64)  # bytes of each token, by which joined pieces are told apart
+            for token, i in spec["model"]["vocab"].items():
+                self.sizes[i] = len(token)
+            for t in spec["added_tokens"]:
+                self.sizes[t["id"]] = len(t["content"].encode())
+        self.cache = PieceCache(self.encode_pieces)
+
+    def encode_pieces(self, todo: list[str]) -> list[bytes]:
+        """The library encodes many pieces as one text: between " a" and " b" it always cuts."""
+        out: list[bytes] = [b""] * len(todo)
+        joined = [i for i, p in enumerate(todo) if p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace()] if self.sizes is not None else []
+        for start in range(0, len(joined), 1000):
+            part = joined[start : start + 1000]
+            ids = np.array(self.model.encode("".join([todo[i] for i in part]), add_special_tokens=False).ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(todo[i].encode()) for i in part])) + 1
+            flat, begin = ids.tobytes(), 0
+            for i, end in zip(part, (self.width * ends).tolist(), strict=True):
+                out[i] = flat[begin:end]
+                begin = end
+        rest = [i for i, o in enumerate(out) if not o and todo[i]]
+        for i, ids in zip(rest, self._alone([todo[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _alone(self, todo: list[str]) -> list[bytes]:
+        return [np.array(self.model.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for t in todo]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         return self.cache.texts(texts)
@@ -164,18 +193,6 @@ def _encoder(content: bytes) -> LibraryEncoder:
     return worker_model("library", content, LibraryEncoder)
 
 
-def encode_ids(df: DataFrame, path: str, text: str = "text", end_id: int = 0) -> DataFrame:
-    """Add the packed ids of every text, the end id last; map-only."""
-    shared = load(df.sparkSession, path)
-
-    def make():
-        model = _encoder(shared.value)
-        end = end_id.to_bytes(model.width, "little")
-        return lambda batch: [pa.array([x + end for x in model.encode([t or "" for t in batch.column(text).to_pylist()])], pa.binary())]
-
-    return add_columns(df, text, [("packed", "binary")], make)
-
-
 def write_ids(docs: DataFrame, vocabulary_path: str, out: str, key: str = "doc_id", text: str = "text", shards: int | None = None, end_id: int = 0) -> None:
     """Write shard files of all documents, in ascending key order, under `out`.
 
@@ -188,12 +205,17 @@ def write_ids(docs: DataFrame, vocabulary_path: str, out: str, key: str = "doc_i
     cuts = np.unique(np.array(cuts, np.float64).astype(np.int64))
     shared = load(spark, vocabulary_path)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.searchsorted(cuts, b.column(key).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), b.column(key), b.column("packed")], ["shard", key, "packed"])
 
-    dealt = encode_ids(docs.select(F.col(key).cast("bigint").alias(key), text), vocabulary_path, text, end_id).select(key, "packed").mapInArrow(deal, f"shard int, `{key}` bigint, packed binary")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _encoder(shared.value)
+        end = end_id.to_bytes(model.width, "little")
+        for batch in batches:
+            for b in slices(batch, text):
+                shard = np.searchsorted(cuts, b.column(key).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+                packed = [x + end for x in model.encode([t or "" for t in b.column(text).to_pylist()])]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(key), pa.array(packed, pa.binary())], ["shard", key, "packed"])
+
+    dealt = docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(encode, f"shard int, `{key}` bigint, packed binary")
     ordered = dealt.repartitionById(n, "shard").sortWithinPartitions("shard", F.col(key).asc_nulls_first(), "packed")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
