@@ -29,7 +29,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -40,13 +39,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailweir.llm.common import LOWER_AZ, read_table, slices, stored, texts_of
+from mailweir.llm.common import LOWER_AZ, discard, read_table, slices, stored, texts_of
 
 WORDS, SHARE = 5, 75
 #: Shingles of one block of sets, and of one hash bucket (both bound a task's memory).
 BLOCK_SHINGLES, BUCKET_SHINGLES = 2 << 20, 4 << 20
-#: Lists of at most this many members are finished at once after their first pivot.
-SHORT_LIST = 64
+#: Members of a list's largest component that are compared with the rest of the list in one turn.
+PIVOTS = 4
 #: Bytes that are hashed at a time.
 SEGMENT = 1 << 20
 
@@ -165,6 +164,11 @@ def _least(n: np.ndarray | int) -> np.ndarray | int:
     return -(-SHARE * n // 100)
 
 
+def _both(n, m):
+    """The smallest overlap with which sets of n and m shingles link."""
+    return -(-SHARE * (n + m) // (100 + SHARE))
+
+
 _SENT = "head int, bucket int, block bigint, a binary, b binary, c binary"
 
 
@@ -272,29 +276,42 @@ def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
         yield finish()
 
     sent = docs.select("text").mapInArrow(send, _SENT)
-    counted = sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "head int, block bigint, a binary, b binary, c binary")
+    counted = stored(sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "head int, block bigint, a binary, b binary, c binary"), "counted")
+    del sent
+    discard()
+    docs.sparkSession._jvm.System.gc()  # the shuffle of all shingles isn't needed any more
     sets = counted.repartition("block").sortWithinPartitions("block").mapInArrow(gather, "sig binary, n int, keys binary")
-    return sets.groupBy("sig", "n").agg(F.first("keys").alias("keys"))
+    out = stored(sets.groupBy("sig", "n").agg(F.first("keys").alias("keys")), "shared")
+    discard(counted)
+    return out
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """The index lists: key, band (block of the list by size), sig, n."""
+    """The index lists: key, band (block of the list by size), own (the set's band), sig, n, pos (place in the set's order).
+
+    Bands are powers of 4/3, so that similar sets are in one band or in neighbours; a block holds a band and
+    the next larger one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sigs, sizes, bands = [], [], [], []
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            sigs: list[bytes] = []
             for sig, n, blob in zip(b.column("sig").to_pylist(), b.column("n").to_pylist(), b.column("keys").to_pylist(), strict=True):
                 shared = np.frombuffer(blob, np.int64)
-                first = n - _least(n) + 1 - (n - len(shared))  # shingles of this set alone come first
-                if first > 0:
-                    band = int(np.log(n) / np.log(4 / 3) + 1e-9)
-                    keys.append(np.tile(shared[:first], 2))
-                    sigs += [sig] * (2 * first)
-                    sizes += [n] * (2 * first)
-                    bands += [band] * first + [band - 1] * first
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(bands, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32())], ["key", "band", "sig", "n"])
+                alone = n - len(shared)  # shingles of this set alone come first
+                own = int(np.log(n) / np.log(4 / 3) + 1e-9)
+                for band in (own, own - 1):
+                    smallest = max(int(_least(n)), int((4 / 3) ** band))
+                    first = n - _both(n, smallest) + 1 - alone
+                    if first > 0:
+                        for column, x in zip(columns, (shared[:first], *(np.full(min(first, len(shared)), v) for v in (band, own, n)), np.arange(alone, alone + min(first, len(shared)))), strict=True):
+                            column.append(x)
+                        sigs += [sig] * min(first, len(shared))
+            key, band, own_, n_, pos = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (band, own_)), pa.array(sigs, pa.binary()), *(pa.array(x.astype(np.int32)) for x in (n_, pos))], ["key", "band", "own", "sig", "n", "pos"])
 
-    return sets.mapInArrow(run, "key bigint, band int, sig binary, n int")
+    return sets.mapInArrow(run, "key bigint, band int, own int, sig binary, n int, pos int")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -327,80 +344,73 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """sig and comp, the smallest sig that links (p, sig) lead to; smallest labels spread, with a jump a round."""
     edges = stored(links.select(F.col("p").alias("u"), F.col("sig").alias("w")).unionAll(links.select(F.col("sig").alias("u"), F.col("p").alias("w"))).distinct(), "edges")
     labels = stored(edges.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("comp")).withColumnRenamed("u", "sig"), "labels")
+    before = labels
     while True:
         near = edges.join(labels.withColumnRenamed("sig", "w"), "w").groupBy("u").agg(F.min("comp").alias("least")).withColumnRenamed("u", "sig")
         best = labels.join(near, "sig").select("sig", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
         jump = labels.select(F.col("sig").alias("comp"), F.col("comp").alias("far"))
         now = stored(best.join(jump, "comp").select("sig", "old", F.least("comp", "far").alias("comp")), "labels")
-        labels = now.select("sig", "comp")
+        discard(before)
+        before, labels = now, now.select("sig", "comp")
         if not now.where("comp <> old").limit(1).count():
             return nodes.select("sig").join(labels, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"))
 
 
-def _free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _meetings(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs (p < sig) that a list suggests: each row with the pivots of its list.
+
+    Left out are pairs of one component, pairs that another block of the list holds, and pairs whose sizes or
+    places in the list rule out a link: if this is their first common shingle, no more than what follows can
+    be common, and if it isn't, the list of the first one suggests them.
+    """
+    need = F.ceil((F.col("n") + F.col("pn")) * SHARE / (100 + SHARE))
+    met = rows.join(pivots, ["key", "band"]).where(
+        (F.col("comp") != F.col("pc")) & (F.least("own", "pown") == F.col("band")) & (100 * F.least("n", "pn") >= SHARE * F.greatest("n", "pn"))
+        & (F.col("n") - F.col("pos") >= need) & (F.col("pn") - F.col("ppos") >= need)
+    )
+    less = F.col("p") < F.col("sig")
+    pick = lambda a, b: F.when(less, F.col(a)).otherwise(F.col(b))
+    return met.select(pick("p", "sig").alias("p"), pick("sig", "p").alias("sig"), pick("pn", "n").alias("pn"), pick("n", "pn").alias("n")).distinct()
+
 
+def set_components(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sig and comp of every set of `shared_shingles`, and the links that were found (p, sig).
 
-def set_components(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """sig and comp of every set of `shared_shingles`, and the links that were found (p, sig)."""
-    spark = sets.sparkSession
+    First every list's pivot meets the others. Where a list still has several components, a few members of its
+    largest one (PIVOTS, twice) meet what isn't in it. What then is left meets all of its list.
+    """
     lists = _postings(sets)
     many = lists.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     lists = stored(lists.join(many, ["key", "band"], "left_semi"), "lists")
-    labels, links, known, pivots = sets.select("sig", F.col("sig").alias("comp")), None, None, 1
-    while True:
+    member = lambda salt: F.struct(F.xxhash64("sig", F.lit(salt)).alias("h"), F.col("sig").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("own").alias("pown"), F.col("comp").alias("pc"))
+    labels, links, known = sets.select("sig", F.col("sig").alias("comp")), None, None
+    for turn in range(4):
         rows = lists.join(labels, "sig")
-        heads = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min(F.struct(F.xxhash64("sig").alias("h"), F.col("sig").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("pivot")).where("c1 <> c2")
-        pairs = rows.join(heads.select("key", "band", "m", "pivot.*"), ["key", "band"]).where("comp <> pc")
-        fits = lambda a, b: 100 * F.least(a, b) >= SHARE * F.greatest(a, b)
-        if known is None:
-            todo = pairs.where(fits(F.col("n"), F.col("pn"))).select("p", "sig", "pn", "n").distinct()
+        if turn == 0:
+            heads = rows.groupBy("key", "band").agg(F.min(member(0)).alias("pivot"))
+            todo = _meetings(rows, heads.select("key", "band", "pivot.*").drop("h")).withColumn("sure", F.lit(False))
         else:
-            # lists that are still open: all pairs of short lists, further pivots of long ones
-            live = stored(rows.join(heads.select("key", "band", "m"), ["key", "band"]), "live")
-            if not live.limit(1).count():
+            by_comp = rows.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("m"), *(F.min(member(PIVOTS * turn + i)).alias(f"p{i}") for i in range(PIVOTS)))
+            heads = by_comp.groupBy("key", "band").agg(F.max_by(F.struct("comp", F.array(*(f"p{i}" for i in range(PIVOTS))).alias("some")), F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
+            left = stored(rows.join(heads.select("key", "band", F.col("top.comp").alias("main")), ["key", "band"]).where("comp <> main").drop("main"), "left")
+            if not left.limit(1).count():
                 break
-            order = F.row_number().over(_window("key", "band").orderBy(F.xxhash64("sig"), "sig"))
-            chosen = live.withColumn("r", order).where((F.col("m") <= SHORT_LIST) | (F.col("r") <= pivots)).select("key", "band", "r", F.col("sig").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            met = live.select("key", "band", "sig", "n", "comp").join(chosen, ["key", "band"]).where((F.col("comp") != F.col("pc")) & (F.col("sig") > F.col("p")) | (F.col("r") <= pivots) & (F.col("comp") != F.col("pc")) & (F.col("sig") != F.col("p")))
-            met = met.where(fits(F.col("n"), F.col("pn"))).select(F.least("p", "sig").alias("p"), F.greatest("p", "sig").alias("sig"), F.when(F.col("p") < F.col("sig"), F.col("pn")).otherwise(F.col("n")).alias("pn"), F.when(F.col("p") < F.col("sig"), F.col("n")).otherwise(F.col("pn")).alias("n")).distinct()
-            done = known.select(F.least("p", "sig").alias("p"), F.greatest("p", "sig").alias("sig"))
-            todo = _open_pairs(met.join(done, ["p", "sig"], "left_anti"), known)
+            if turn < 3:
+                some = heads.select("key", "band", F.explode(F.array_distinct("top.some")).alias("pivot")).select("key", "band", "pivot.*").drop("h")
+            else:
+                some = rows.select("key", "band", F.col("sig").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("own").alias("pown"), F.col("comp").alias("pc"))
+            todo = _open_pairs(_meetings(left, some).join(known.select("p", "sig"), ["p", "sig"], "left_anti"), known)
         todo = stored(todo, "pairs")
-        sure = todo.where("sure").drop("sure") if "sure" in todo.columns else None
-        found = _overlaps(todo.where("NOT sure").drop("sure") if sure is not None else todo, sets)
-        found = stored(found if sure is None else found.unionAll(sure.select("p", "sig", "pn", "n", F.lit(None).cast("int").alias("o"))), "overlaps")
-        _free(spark)
+        found = _overlaps(todo.where("NOT sure").drop("sure"), sets)
+        found = stored(found.unionAll(todo.where("sure").select("p", "sig", "pn", "n", F.lit(None).cast("int").alias("o"))), "overlaps")
+        discard(todo, *([left] if turn else []))
         new = found.where(F.col("o").isNull() | _linked(F.col("o"), F.col("n"), F.col("pn"))).select("p", "sig")
         links = new if links is None else links.unionAll(new)
         known = found if known is None else known.unionAll(found)
         labels = stored(components(sets, links), "components")
-        lists = stored(_without_finished(lists, labels, pivots if pivots > 1 else 0), "lists")
-        _free(spark)
-        pivots = 16 if pivots == 1 else pivots * 4
     return labels, links
 
 
-def _window(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
-
-
-def _without_finished(lists: DataFrame, labels: DataFrame, pivots: int) -> DataFrame:
-    """Lists with members of several components; short ones are finished after `pivots`, and pivots leave long ones."""
-    rows = lists.join(labels, "sig")
-    heads = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-    if pivots:
-        heads = heads.where(F.col("m") > SHORT_LIST)
-    kept = rows.join(heads.select("key", "band"), ["key", "band"], "left_semi")
-    if pivots:
-        kept = kept.withColumn("r", F.row_number().over(_window("key", "band").orderBy(F.xxhash64("sig"), "sig"))).where(F.col("r") > pivots)
-    return kept.select("key", "band", "sig", "n")
-
-
 def _open_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Drop pairs that can't link, mark those that must, by what both sets have in common with one pivot.
 
@@ -423,8 +433,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = ids.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
         return ids.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    sets = stored(shared_shingles(docs, total), "shared")
-    _free(docs.sparkSession)
+    sets = shared_shingles(docs, total)
     labels, _ = set_components(sets)
     joined = ids.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     least = joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
