@@ -44,6 +44,8 @@ from mailweir.llm.common import LOWER_AZ, discard, read_table, slices, stored, t
 WORDS, SHARE = 5, 75
 #: Shingles of one block of sets, and of one hash bucket (both bound a task's memory).
 BLOCK_SHINGLES, BUCKET_SHINGLES = 2 << 20, 4 << 20
+#: Links that a task contracts at a time.
+CHUNK_LINKS = 1 << 18
 #: Members of a list's largest component that are compared with the rest of the list in one turn.
 PIVOTS = 4
 #: Bytes that are hashed at a time.
@@ -330,9 +332,9 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 other = np.frombuffer(x, np.int64)
                 at = np.minimum(np.searchsorted(pivot, other), len(pivot) - 1)
                 both.append(int((pivot[at] == other).sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("p", "sig", "pn", "n")), pa.array(both, pa.int32())], ["p", "sig", "pn", "n", "o"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("p", "sig", "pn", "n", "pc", "comp")), pa.array(both, pa.int32())], ["p", "sig", "pn", "n", "pc", "comp", "o"])
 
-    return read.mapInArrow(run, "p binary, sig binary, pn int, n int, o int")
+    return read.mapInArrow(run, "p binary, sig binary, pn int, n int, pc binary, comp binary, o int")
 
 
 def _linked(o, n, m):
@@ -340,20 +342,67 @@ def _linked(o, n, m):
     return (100 + SHARE) * o >= SHARE * (n + m)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """sig and comp, the smallest sig that links (p, sig) lead to; smallest labels spread, with a jump a round."""
-    edges = stored(links.select(F.col("p").alias("u"), F.col("sig").alias("w")).unionAll(links.select(F.col("sig").alias("u"), F.col("p").alias("w"))).distinct(), "edges")
-    labels = stored(edges.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("comp")).withColumnRenamed("u", "sig"), "labels")
-    before = labels
+def _stars(links: DataFrame, level: int) -> DataFrame:
+    """Each set of the links (p, sig) with the first set that it reaches over the links of one task, in this level's order.
+
+    A task holds CHUNK_LINKS links at a time. The order is another one at each level, so that every level leaves fewer sets.
+    """
+    salt = _mix(np.array([level + 1], _U) * _BASE)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
+        ends: list[int] = []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            names = list(number)
+            rank = _mix(np.frombuffer(b"".join(x[:8] for x in names), _U) ^ salt) >> _U(1)
+            order = np.argsort(rank, kind="stable")
+            place = np.empty(len(names), np.int64)
+            place[order] = np.arange(len(names))
+            u, w = place[np.array(ends)].reshape(-1, 2).T
+            low = np.arange(len(names))
+            while (low[u] != low[w]).any():
+                x, y = low[u], low[w]
+                least = np.minimum(x, y)
+                np.minimum.at(low, x, least)
+                np.minimum.at(low, y, least)
+                while ((far := low[low]) != low).any():
+                    low = far
+            for i in range(0, len(names), 1 << 14):
+                who, first = order[i : i + (1 << 14)], order[low[i : i + (1 << 14)]]
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in who], pa.binary()), pa.array(rank[first].astype(np.int64)), pa.array([names[k] for k in first], pa.binary())], ["sig", "rank", "root"])
+
+        for b in batches:
+            for link in zip(b.column("p").to_pylist(), b.column("sig").to_pylist(), strict=True):
+                ends += [number.setdefault(x, len(number)) for x in link]
+            if len(ends) >= 2 * CHUNK_LINKS:
+                yield from finish()
+                number, ends = {}, []
+        if ends:
+            yield from finish()
+
+    return links.select("p", "sig").mapInArrow(run, "sig binary, rank bigint, root binary")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """sig and comp (one set of the component, the same for all) of every set that links (p, sig) name.
+
+    Each task contracts its links to stars. A set's roots, one for each task that met it, are then links of the
+    next level, which holds roots only.
+    """
+    levels = []
     while True:
-        near = edges.join(labels.withColumnRenamed("sig", "w"), "w").groupBy("u").agg(F.min("comp").alias("least")).withColumnRenamed("u", "sig")
-        best = labels.join(near, "sig").select("sig", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
-        jump = labels.select(F.col("sig").alias("comp"), F.col("comp").alias("far"))
-        now = stored(best.join(jump, "comp").select("sig", "old", F.least("comp", "far").alias("comp")), "labels")
-        discard(before)
-        before, labels = now, now.select("sig", "comp")
-        if not now.where("comp <> old").limit(1).count():
-            return nodes.select("sig").join(labels, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"))
+        roots = _stars(links, len(levels)).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("rank", "root"))).alias("roots"))
+        now = stored(roots.select("sig", F.col("roots")[0]["root"].alias("comp"), F.transform(F.expr("slice(roots, 2, size(roots))"), lambda r: r["root"]).alias("others")), "level")
+        levels.append(now)
+        left = now.agg(F.sum(F.size("others"))).first()[0]
+        if not left:
+            break
+        links = now.select(F.col("comp").alias("p"), F.explode("others").alias("sig")).coalesce(-(-left // CHUNK_LINKS))
+    found = levels.pop().select("sig", "comp")
+    for now in reversed(levels):
+        found = now.select("sig", "comp").join(found.select(F.col("sig").alias("comp"), F.col("comp").alias("far")), "comp", "left").select("sig", F.coalesce("far", "comp").alias("comp"))
+    return found
 
 
 def _meetings(rows: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -370,7 +419,7 @@ def _meetings(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     )
     less = F.col("p") < F.col("sig")
     pick = lambda a, b: F.when(less, F.col(a)).otherwise(F.col(b))
-    return met.select(pick("p", "sig").alias("p"), pick("sig", "p").alias("sig"), pick("pn", "n").alias("pn"), pick("n", "pn").alias("n")).distinct()
+    return met.select(pick("p", "sig").alias("p"), pick("sig", "p").alias("sig"), pick("pn", "n").alias("pn"), pick("n", "pn").alias("n"), pick("pc", "comp").alias("pc"), pick("comp", "pc").alias("comp")).distinct()
 
 
 def set_components(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -402,12 +451,14 @@ def set_components(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             todo = _open_pairs(_meetings(left, some).join(known.select("p", "sig"), ["p", "sig"], "left_anti"), known)
         todo = stored(todo, "pairs")
         found = _overlaps(todo.where("NOT sure").drop("sure"), sets)
-        found = stored(found.unionAll(todo.where("sure").select("p", "sig", "pn", "n", F.lit(None).cast("int").alias("o"))), "overlaps")
+        found = stored(found.unionAll(todo.where("sure").select("p", "sig", "pn", "n", "pc", "comp", F.lit(None).cast("int").alias("o"))), "overlaps")
         discard(todo, *([left] if turn else []))
-        new = found.where(F.col("o").isNull() | _linked(F.col("o"), F.col("n"), F.col("pn"))).select("p", "sig")
-        links = new if links is None else links.unionAll(new)
+        new = found.where(F.col("o").isNull() | _linked(F.col("o"), F.col("n"), F.col("pn")))
+        links = new.select("p", "sig") if links is None else links.unionAll(new.select("p", "sig"))
         known = found if known is None else known.unionAll(found)
-        labels = stored(components(sets, links), "components")
+        merged = components(new.select(F.col("pc").alias("p"), F.col("comp").alias("sig")))  # of components, not of sets
+        merged = merged.select(F.col("sig").alias("comp"), F.col("comp").alias("now"))
+        labels = stored(labels.join(merged, "comp", "left").select("sig", F.coalesce("now", "comp").alias("comp")), "components")
     return labels, links
 
 
@@ -424,7 +475,7 @@ def _open_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
     most = F.least(a, b) + F.least(F.col("pn") - a, F.col("n") - b)
     least = a + b - F.col("k_p.pn")
     marked = both.withColumn("sure", F.coalesce(same & _linked(least, F.col("n"), F.col("pn")), F.lit(False)))
-    return marked.where(~F.coalesce(same & ~_linked(most, F.col("n"), F.col("pn")), F.lit(False))).select("p", "sig", "pn", "n", "sure")
+    return marked.where(~F.coalesce(same & ~_linked(most, F.col("n"), F.col("pn")), F.lit(False))).select("p", "sig", "pn", "n", "pc", "comp", "sure")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
