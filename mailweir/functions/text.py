@@ -70,8 +70,10 @@ def delivery_header(user: Column, primary_host: Column, ip: Column, host: Column
 
 
 def cumulative_md5(base: Column, recipients: Column) -> Column:
-    """For recipient i, the md5 of the base and of all recipients up to i."""
-    return F.transform(recipients, lambda _, i: F.md5(F.concat(base, F.array_join(F.slice(recipients, F.lit(1), i + 1), "")).cast("binary")))
+    """For recipient i, the md5 of the base and of all recipients up to i; the base stays out of lambda bodies, where Spark can't run a UDF."""
+    start = F.struct(base.alias("all"), F.expr("array()").cast("array<string>").alias("hashes"))
+    step = lambda a, x: F.struct(F.concat(a["all"], x).alias("all"), F.array_append(a["hashes"], F.md5(F.concat(a["all"], x).cast("binary"))).alias("hashes"))
+    return F.aggregate(recipients, start, step, lambda a: a["hashes"])
 
 
 def unstuff_dots(body: Column) -> Column:

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailweir.functions import grammar, mime
 from mailweir.functions import text as fn
-from mailweir.operators import allow, configdiff, replies, sessions
+from mailweir.operators import allow, configdiff, processors, replies, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -257,3 +258,56 @@ def q32_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     gap = F.coalesce(micros - F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(0))
     return table(spark, sf_dir, "events").select("event_id", F.when(gap > 30_000_000_000, "554 Error: transaction timeout").otherwise("250 2.0.0 OK").alias("reply"))
+
+
+_USER = "lower(replace(c_name, '#', '.'))"
+_LINE = f"""CASE c_custkey % 7 WHEN 0 THEN '<' || {_USER} || '@shop.example.com> SIZE=' || c_custkey || ' BODY=8BITMIME' WHEN 1 THEN '<>' WHEN 2 THEN '<' || {_USER} || '>'
+ WHEN 3 THEN ' <@a.example,@b:"' || c_name || ' x"@[127.0.0.1]>' WHEN 4 THEN '<' || {_USER} || '@-bad.example>' WHEN 5 THEN '<' || {_USER} || '@a.example> SI-=1' ELSE 'x@y' END"""
+
+
+@query(f"""
+SELECT c_custkey, c_custkey % 7 IN (0, 1, 3) AS ok, CASE c_custkey % 7 WHEN 0 THEN {_USER} WHEN 1 THEN '' WHEN 3 THEN c_name || ' x' END AS user_part,
+       CASE c_custkey % 7 WHEN 0 THEN 'shop.example.com' WHEN 1 THEN '' WHEN 3 THEN '' END AS host, CASE WHEN c_custkey % 7 = 3 THEN '127.0.0.1' END AS ip,
+       CASE c_custkey % 7 WHEN 0 THEN 2 WHEN 1 THEN 0 WHEN 3 THEN 0 END AS n_params, CASE c_custkey % 7 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 3 THEN 2 END AS n_route
+FROM customer""")
+def q33_reverse_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sender paths of seven kinds, right and wrong, by the protocol's grammar."""
+    lines = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_LINE).alias("line"))
+    parsed = lines.select("c_custkey", grammar.parse_path(F.col("line"), forward=False).alias("p"))
+    return parsed.select("c_custkey", "p.ok", F.col("p.user").alias("user_part"), "p.host", "p.ip", F.when(F.col("p.ok"), F.size("p.params")).alias("n_params"), F.when(F.col("p.ok"), F.size("p.route")).alias("n_route"))
+
+
+@query("""
+SELECT doc_id, 'doc ' || doc_id AS subject, 2 AS n_lang, lang AS first_lang, 'a ' || coalesce(source, '') AS folded, 4 AS n_names
+FROM (SELECT doc_id, coalesce(lang, '') AS lang, source FROM documents)""")
+def q34_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header maps of messages made from documents: repeated names in any case, and folded lines."""
+    c = lambda x: F.coalesce(F.col(x), F.lit(""))
+    data = F.concat(F.lit("SUBJECT: doc "), F.col("doc_id").cast("string"), F.lit("\nx-lang:  "), c("lang"), F.lit("\nX-Lang: two\nX-folded: a\n\t "), c("source"), F.lit("\nDate: x\n\n"), c("text"))
+    parsed = table(spark, sf_dir, "documents").select("doc_id", mime.parse_headers(data).alias("h"))
+    of = lambda name: F.col("h")[name]
+    return parsed.select("doc_id", of("Subject")[0].alias("subject"), F.size(of("X-Lang")).alias("n_lang"), of("X-Lang")[0].alias("first_lang"), of("X-Folded")[0].alias("folded"), F.size("h").alias("n_names"))
+
+
+@query("SELECT c_custkey, 'Re: ' || c_name || c_mktsegment || ' =?nope' AS subject FROM customer")
+def q35_encoded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent encoded words become one text, what isn't one stays."""
+    word = lambda c: F.concat(F.lit("=?UTF-8?B?"), F.base64(F.encode(c, "UTF-8")), F.lit("?="))
+    raw = F.concat(F.lit("Re: "), word(F.col("c_name")), F.lit(" \t"), word(F.col("c_mktsegment")), F.lit(" =?nope"))
+    return table(spark, sf_dir, "customer").select("c_custkey", mime.decoded_words(raw).alias("subject"))
+
+
+@query("""
+SELECT c_custkey, c_name AS subject, md5('bob@example.net' || c_name || 't0' || 'a@x.example') AS first_hash, md5('bob@example.net' || c_name || 't0' || 'a@x.examplec@y.example') AS second_hash,
+       'Delivered-To: a@mail.example.com' || chr(10) || 'Received: from 10.0.0.1 ([10.0.0.1])' || chr(10) || chr(9) || 'by helo.example with ESMTP id '
+       || md5('bob@example.net' || c_name || 't0' || 'a@x.example') || '@helo.example;' || chr(10) || chr(9) || 't0' || chr(10) AS delivery_header
+FROM customer""")
+def q36_processor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configured chain: headers, hashes of the recipients, delivery header."""
+    message = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.lit("10.0.0.1").alias("remote_ip"), F.lit("helo.example").alias("helo"), F.lit("bob").alias("mail_user"), F.lit("example.net").alias("mail_host"),
+        F.array(F.lit("a@x.example"), F.lit("c@y.example")).alias("rcpt_to"), F.lit(True).alias("esmtp"), F.lit(False).alias("tls"), F.lit("t0").alias("stamp"),
+        F.concat(F.lit("Subject: "), F.col("c_name"), F.lit("\n\nbody")).alias("data"),
+    )
+    out = message.transform(processors.chain("HeadersParser|Hasher|Header|Debugger"))
+    return out.select("c_custkey", "subject", F.col("hashes")[0].alias("first_hash"), F.col("hashes")[1].alias("second_hash"), "delivery_header")
