@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweir.llm.common import MAX_BROADCAST_BYTES, add_columns, read_table, texts_of
+from mailweir.llm.common import MAX_BROADCAST_BYTES, add_columns, discard, read_table, stored, texts_of
 
 SAMPLE, SAMPLE_BYTES = 4000, 16_384
 DICTIONARY_BYTES, LEVEL = 32_768, 1
@@ -92,16 +92,38 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _first_rows(rows: DataFrame, sample: int) -> list[tuple]:
+    """The first distinct rows (place, doc_id, hash) by place, a uniform hash; only a cut around them reaches the driver."""
+    share = 1.25 * sample / max(rows.count(), 1)
+    while True:
+        cut = min(int(share * 2**64) - 2**63, 2**63 - 1)
+        found = rows.where(F.col("place") <= cut).distinct().orderBy("place", "doc_id", "hash").limit(sample).collect()
+        if len(found) >= sample or share >= 1:
+            return [tuple(r) for r in found]
+        share *= 4
+
+
+def _sample(docs: DataFrame, known: DataFrame, sample: int) -> dict[int, list[bytes]]:
+    """At most `sample` short texts of each label, in an order of their own; repeated rows count once.
+
+    Ids and hashes are joined with the labels, and only what is chosen of them is fetched as text.
+    """
+    hashed = docs.select("doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    short = hashed.where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    place = F.xxhash64("doc_id", F.lit(17)).alias("place")
+    rows = stored(short.select("doc_id", "hash").join(known, "doc_id").select(place, "doc_id", "hash", "quality"), "labelled")
+    chosen = {label: _first_rows(rows.where(F.col("quality") == label).drop("quality"), sample) for label in (1, 0)}
+    ids = docs.sparkSession.createDataFrame(list({r[1:] for x in chosen.values() for r in x}), rows.select("doc_id", "hash").schema)  # 2 * sample rows at most
+    texts = short.join(F.broadcast(ids), ["doc_id", "hash"]).dropDuplicates(["doc_id", "hash"]).collect()
+    discard(rows)
+    by_id = {(r["doc_id"], r["hash"]): r["text"].encode() for r in texts}
+    return {label: [by_id[r[1:]] for r in x] for label, x in chosen.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Learn from labelled rows that aren't held out; the driver gets a bounded sample of them."""
     known = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & ~held_out("doc_id"))
-    joined = docs.select("doc_id", "text").join(known, "doc_id").where(F.col("text").isNotNull())
-    short = joined.where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    parts = {}
-    for label in (1, 0):
-        order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id"), F.col("text")]
-        rows = short.where(F.col("quality") == label).orderBy(*order).limit(sample).select("text").collect()
-        parts[label] = [r["text"].encode() for r in rows]
+    parts = _sample(docs, known, sample)
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     base = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     half = {k: (v[::2], v[1::2]) for k, v in parts.items()}
