@@ -71,6 +71,24 @@ def write_records(pages: DataFrame, out: str, key: str = "page_id", uri: str = "
     joined.select(record.cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(out)
 
 
+_SPLITS = "spark.sql.files.minPartitionNum"
+
+
+def _reader(spark: SparkSession) -> SparkSession:
+    """A session whose settings nobody changes, and whose byte ranges don't follow the live cores.
+
+    A scan is cut by the settings of the session that made it, whenever it runs. So all scans of one reader have the same
+    ranges, as long as the files stay.
+    """
+    reader = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if reader.conf.isModifiable(key):
+            reader.conf.set(key, value)
+    if not spark.conf.get(_SPLITS, None):
+        reader.conf.set(_SPLITS, str(max(1, spark.sparkContext.defaultParallelism)))
+    return reader
+
+
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
     """What lies between magic lines, in file order within each byte range."""
     lines = spark.read.option("lineSep", MAGIC).text(path)
@@ -197,13 +215,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     Payloads stay in the task that reads them. Only records with magic inside that go on in another
     byte range are put together by a shuffle of their parts; without any, that path isn't taken.
     """
-    entries = stored(verified_entries(spark, path), "entries")
+    reader = _reader(spark)
+    entries = stored(verified_entries(reader, path), "entries")
     known = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("later") & ~F.col("entry").eqNullSafe(F.col("base") - len(MAGIC))).alias("crossing")).first()
-    chunks = _chunks(spark, path).withColumns({"value": F.col("value").cast("binary"), "row": F.monotonically_increasing_id()})
+    chunks = _chunks(reader, path).withColumns({"value": F.col("value").cast("binary"), "row": F.monotonically_increasing_id()})
     if known["n"] <= BROADCAST_RANGES:
-        met = chunks.join(F.broadcast(entries), ["file", "block"])
+        met = chunks.join(F.broadcast(entries), ["file", "block"], "left")
     else:
-        met = chunks.join(entries, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "row")
+        met = chunks.join(entries, ["file", "block"], "left").repartition("file", "block").sortWithinPartitions("file", "block", "row")
     magic = MAGIC.encode()
     names = ["file", "offset", "goal", *(n for n, _ in _FIELDS)]
     kinds = [pa.string(), pa.int64(), pa.int64(), *(t for _, t in _FIELDS)]
@@ -234,6 +253,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file, block, base, entry, goal, value in zip(*(b.column(c).to_pylist() for c in ("file", "block", "base", "entry", "goal", "value")), strict=True):
                 if (file, block) != now:
+                    if base is None:
+                        raise ValueError(f"{file} has no byte range at {block}: its ranges or its bytes changed while it was read")
                     close(at)
                     now, at, begin, expected, aim = (file, block), base - len(magic), None, entry, goal
                 if at == expected:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from mailweir.llm import warc
 from mailweir.llm.common import fresh_path
@@ -58,3 +59,30 @@ def test_empty_table(spark):
     out = fresh_path(spark, "test")
     warc.write_records(spark.createDataFrame([], "page_id bigint, url string, html string, type int"), out)
     assert warc.read_records(spark, out).count() == 0
+
+
+def test_ranges_stay_when_the_cores_change(spark):
+    """Between the two passes, and before a second action, the parallelism that Spark cuts files by changes."""
+    pages = [(i, f"http://a.example/{i}", "y" * (i * 53 % 700)) for i in range(200)]
+    out = fresh_path(spark, "test")
+    warc.write_records(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1), out)
+    cores, cost = "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes"
+    try:
+        spark.conf.set(cost, "100")
+        spark.conf.set(cores, "7")
+        found = warc.read_records(spark, out)
+        for n in ("5", "31"):
+            spark.conf.set(cores, n)
+            assert sorted(r["record_id"] for r in found.select("record_id").collect()) == sorted(f"<urn:record:{i}>" for i in range(200))
+    finally:
+        spark.conf.unset(cores)
+        spark.conf.unset(cost)
+
+
+def test_a_chunk_without_a_range_is_an_error(spark, monkeypatch):
+    out = fresh_path(spark, "test")
+    warc.write_records(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id bigint, url string, html string").coalesce(1), out)
+    entries = warc.verified_entries
+    monkeypatch.setattr(warc, "verified_entries", lambda s, path: entries(s, path).withColumn("block", F.col("block") + 1))
+    with pytest.raises(Exception, match="no byte range"):
+        warc.read_records(spark, out).collect()
