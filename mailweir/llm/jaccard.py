@@ -148,17 +148,18 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and sig (16 bytes that equal sets share; null for the empty set); map-only."""
+    """doc_id, n_shingles and sig (16 bytes that equal sets share; null for the empty set), and what else `docs` has beside its text; map-only."""
+    more = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in _sized(batches):
             sets = shingler.sets(texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "sig"]
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.binary()), *(b.column(f.name) for f in more)], ["doc_id", "n_shingles", "sig", *(f.name for f in more)]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType()), *more]))
 
 
 def _least(n: np.ndarray | int) -> np.ndarray | int:
@@ -478,15 +479,20 @@ def _open_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return marked.where(~F.coalesce(same & ~_linked(most, F.col("n"), F.col("pn")), F.lit(False))).select("p", "sig", "pn", "n", "pc", "comp", "sure")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, sig and comp (one set of the component; null for the empty set) of every document, and what else `docs` has beside its text."""
     ids = stored(set_ids(docs), "sets")
     total = ids.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
-        return ids.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return ids.withColumn("comp", F.col("sig"))
     sets = shared_shingles(docs, total)
     labels, _ = set_components(sets)
-    joined = ids.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    return ids.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document."""
+    joined = _labelled(docs.select("doc_id", "text"))
     least = joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return joined.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -497,6 +503,26 @@ def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group: that with the smallest doc_id, with its columns."""
-    found = jaccard_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").select(*[docs[f"`{c}`"] for c in docs.columns])
+    """One row of each component, with its columns: of the smallest doc_id (null last), the text with the smallest digest.
+
+    Rows equal in doc_id and text are one key; any one of them stays. Each row with an empty set is its own
+    component, and stays.
+    """
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_digest")
+    tagged = _labelled(docs.select("doc_id", "text", digest))
+    rows = tagged.groupBy("comp", "doc_id", "_digest").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_digest", "n")).alias("k")).select("k.doc_id", "k._digest", "k.n")
+    keys = stored(first.unionByName(rows.where("comp IS NULL").select("doc_id", "_digest", F.lit(1).cast("bigint").alias("n"))), "keys")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*columns, digest)
+
+    def having(found: DataFrame) -> DataFrame:
+        k = found.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_key"))
+        return marked.join(k, marked["doc_id"].eqNullSafe(k["_id"]) & (marked["_digest"] == k["_key"]), "left_semi")
+
+    out = having(keys.where("n = 1")).select(*columns)
+    repeated = keys.where("n > 1")
+    if not repeated.limit(1).count():
+        return out
+    one = having(repeated).groupBy("doc_id", "_digest").agg(F.first(F.struct(*columns)).alias("row"))  # combined before the exchange
+    return out.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -86,3 +86,22 @@ def test_components_of_long_chains(spark, monkeypatch):
     assert len(got) == sum(map(len, groups))
     firsts = [{got[x] for x in g} for g in groups]
     assert all(len(f) == 1 and f <= g for f, g in zip(firsts, groups, strict=True))
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated doc_ids and several null ids: one row a component, and every row without words."""
+    from mailweir.llm.jaccard import keep_first
+
+    base = " ".join(f"v{i}" for i in range(60))
+    other, third, lone = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(1, base, k) for k in range(30)] + [(1, base + " more", 30), (2, base, 31), (None, base, 32)]  # one component
+    rows += [(1, other, 33), (5, other, 34)]  # id 1 names another component as well
+    rows += [(7, third, 35), (6, third + " more", 36), (6, third + " more", 37), (7, lone, 38)]
+    rows += [(None, "only nulls hold this text", 39)] * 3 + [(None, "only nulls hold this text", 40)]
+    rows += [(None, "", 41), (None, None, 42), (None, " ", 43), (1, "", 44), (1, "", 45), (None, "a null id alone", 46)]
+    got = sorted(map(tuple, keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, k int").repartition(5)).collect()), key=str)
+    keys = [(d, t) for d, t, _ in got if (t or "").strip()]
+    assert sorted((d, t.split(" more")[0]) for d, t in keys if d is not None) == [(1, base), (1, other), (6, third), (7, lone)]
+    assert sorted(t for d, t in keys if d is None) == ["a null id alone", "only nulls hold this text"]
+    assert sorted(k for _, t, k in got if not (t or "").strip()) == [41, 42, 43, 44, 45]
+    assert all(row in rows for row in got)
