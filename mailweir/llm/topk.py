@@ -7,12 +7,14 @@ for each query, the vectors whose upper bound reaches the k-th best lower bound;
 exact vectors of those, best bound first, until the k-th exact result beats the next bound.
 
 Queries are a stated set; they are taken in blocks of bounded size, and each block scans the cells
-once. Equal vectors are scanned once, with the k + 1 smallest ids, which are all that can be in an
-answer (one of them may be the query itself).
+once. Equal vectors are scanned once, with at most k rows of each id and the 2 k smallest of those, which are
+all that can be in an answer (k of them may have the query's id). A vector that only rows of the query's id
+hold is no candidate.
 
 Defined results: vectors null or with null or non-finite components, and null ids, take no part as
 query or candidate. Vectors are compared with those of the same length only. Empty vectors score 0. Ties go to the
-smaller id; rows that repeat an id are candidates each, but no row with the query's id is.
+smaller id; rows that repeat an id are candidates each, but no row with the query's id is. Rows that repeat a
+query's id are one query: its answer is the k best of all pairs of such a row and a candidate row.
 """
 
 from __future__ import annotations
@@ -68,12 +70,13 @@ class Cells:
 
 
 def build_file(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, dict]:
-    """The approximation file (number, dims, codes), the exact file (number, v, ids) and the limits by length.
+    """The approximation file (number, dims, codes, sole: the id, if all rows have one), the exact file (number, v, ids) and the limits by length.
 
     The true least and greatest value of each dimension bound the end cells.
     """
     hashed = vectors.withColumn("h", F.xxhash64("v"))
-    few = hashed.withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("n") <= k + 1)
+    each = hashed.withColumn("n", F.row_number().over(Window.partitionBy("h", "v", "id").orderBy("id"))).where(F.col("n") <= k)
+    few = each.withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("n") <= 2 * k)
     exact = stored(few.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("number", F.monotonically_increasing_id()).select("number", F.size("v").alias("dims"), "v", "ids"), "exact")
     sample = [r["v"] for r in exact.orderBy(F.xxhash64("v")).limit(CELL_SAMPLE).select("v").collect()]
     ends = exact.select("dims", F.posexplode("v").alias("j", "x")).groupBy("dims", "j").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
@@ -89,9 +92,10 @@ def build_file(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, dict]:
         for b in batches:
             for n, rows, v in _matrix(b.column("v")):
                 codes = limits[n][0].codes(v) if n else np.empty((len(rows), 0), np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("number").take(pa.array(rows)), pa.array(np.full(len(rows), n), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["number", "dims", "codes"])
+                yield pa.RecordBatch.from_arrays([b.column("number").take(pa.array(rows)), pa.array(np.full(len(rows), n), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), b.column("sole").take(pa.array(rows))], ["number", "dims", "codes", "sole"])
 
-    return stored(exact.mapInArrow(code, "number bigint, dims int, codes binary"), "cells"), exact, limits
+    sole = F.when(F.col("ids")[0] == F.element_at("ids", -1), F.col("ids")[0])
+    return stored(exact.withColumn("sole", sole).mapInArrow(code, "number bigint, dims int, codes binary, sole bigint"), "cells"), exact, limits
 
 
 def _bounds(codes: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,16 +124,19 @@ def _query_blocks(queries: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates; both tables as of `whole_numbers`."""
     cells, exact, limits = build_file(vectors, k)
+    queries = queries.withColumn("n", F.row_number().over(Window.partitionBy("id", "v").orderBy("id"))).where(F.col("n") <= k)  # of equal rows no more can matter
     parts = [_search(cells, exact, limits, block, k) for block in _query_blocks(queries, block_bytes)]
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _search(cells: DataFrame, exact: DataFrame, limits: dict, block: list[tuple[int, list[int]]], k: int) -> DataFrame:
+    """query_id, vec_id and score: the k best candidates of each row of a query block."""
     spark = cells.sparkSession
     by_dims: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in {len(v) for _, v in block}:
@@ -137,7 +144,7 @@ def _search(cells: DataFrame, exact: DataFrame, limits: dict, block: list[tuple[
         by_dims[n] = (np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.int64).reshape(len(rows), n))
     ids = np.array([i for i, _ in block], np.int64)
     shared = spark.sparkContext.broadcast(pickle.dumps((by_dims, limits)))  # at most BLOCK_BYTES of queries, and the limits
-    need = k + 1  # the query's own vector may be among the best
+    need = k  # each vector that takes part holds a candidate
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, limits_ = pickle.loads(shared.value)
@@ -145,14 +152,18 @@ def _search(cells: DataFrame, exact: DataFrame, limits: dict, block: list[tuple[
         kept: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in queries}
         for b in batches:
             dims, numbers = b.column("dims").to_numpy(zero_copy_only=False), b.column("number").to_numpy(zero_copy_only=False)
+            single, sole = b.column("sole").is_valid().to_numpy(zero_copy_only=False), b.column("sole").fill_null(0).to_numpy(zero_copy_only=False)
             for n in set(np.unique(dims).tolist()) & queries.keys():
                 mine = np.flatnonzero(dims == n)
                 codes = np.frombuffer(b"".join(b.column("codes").take(pa.array(mine)).to_pylist()), np.uint8).reshape(len(mine), n)
                 for start in range(0, len(mine), SCAN_ROWS):
                     least, most = _bounds(codes[start : start + SCAN_ROWS], queries[n][1], *limits_[n][1:])
+                    some = mine[start : start + SCAN_ROWS]
+                    none = single[some] & (sole[some] == ids[queries[n][0]][:, None])
+                    least[none] = -np.inf
                     both = np.concatenate([best[n], least], 1)
                     best[n] = -np.partition(-both, need - 1, axis=1)[:, :need]
-                    q, c = np.nonzero(most >= best[n].min(1, keepdims=True))
+                    q, c = np.nonzero((most >= best[n].min(1, keepdims=True)) & ~none)
                     kept[n].append((q, numbers[mine[start + c]], least[q, c], most[q, c]))
         for n, found in kept.items():
             if found:
@@ -181,14 +192,9 @@ def _search(cells: DataFrame, exact: DataFrame, limits: dict, block: list[tuple[
                 score = int(vector[q] @ np.array(v, np.int64))
                 scores = sorted([*scores, *((own, m, score) for m in members if m != own)], key=lambda s: (-s[2], s[1]))[:k]
         out += scores
-        ranks: dict[int, int] = {}
-        rows = []
-        for own, m, s in out:
-            ranks[own] = ranks.get(own, 0) + 1
-            rows.append((own, ranks[own], m, s))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["query_id", "rank", "vec_id", "score"])
-
-    return read.mapInArrow(refine, "query_id bigint, rank int, vec_id bigint, score bigint")
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+
+    return read.mapInArrow(refine, "query_id bigint, vec_id bigint, score bigint")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,6 +115,25 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_of_repeated_ids(spark, tmp_path):
+    """Against the SQL: query ids repeated with equal and other vectors, and many rows of one id and vector."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    vectors += [(50, [4.0] * 4)] * 9 + [(i, [4.0] * 4) for i in (51, 52, 77, 77, 100, 150)]  # the query's id fills the smallest rows
+    vectors += [(0, [5.0 + i] * 4) for i in range(9)] + [(100, vectors[100][1])] * 2 + [(200, [-3.0] * 4)] * 14 + [(201, [-3.0] * 4)] * 8
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").repartition(3)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = base.execute(topk.ORACLE_SQL).fetchall()
+    assert len(want) == 25
+    assert sorted(map(tuple, topk.op8_exact_top_k(spark, str(tmp_path)).collect())) == sorted(want)
+    whole = topk.whole_numbers(df)
+    assert sorted(map(tuple, topk.top_k(whole, whole.where("id % 50 = 0"), block_bytes=90).collect())) == sorted(want)
+
+
 def test_quality(spark):
     words = [f"plain{i % 97} prose{i % 89}" for i in range(900)]
     rows = [(i, " ".join(words[i : i + 60]) if i % 2 else "### " * 20 + " *** ".join(words[i : i + 20])) for i in range(400)] + [(400, None), (401, "")]
