@@ -80,7 +80,7 @@ def build_file(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, dict]:
     exact = stored(few.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("number", F.monotonically_increasing_id()).select("number", F.size("v").alias("dims"), "v", "ids"), "exact")
     sample = [r["v"] for r in exact.orderBy(F.xxhash64("v")).limit(CELL_SAMPLE).select("v").collect()]
     ends = exact.select("dims", F.posexplode("v").alias("j", "x")).groupBy("dims", "j").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    limits = {}
+    limits = {0: (Cells(np.empty((0, 0), np.int64)), np.zeros((1, 0)), np.zeros((1, 0)))}  # empty vectors have no dimension to bound
     for n in {r["dims"] for r in ends}:
         cells = Cells(np.array([s for s in sample if len(s) == n], np.int64).reshape(-1, n))
         span = sorted((r["j"], r["lo"], r["hi"]) for r in ends if r["dims"] == n)

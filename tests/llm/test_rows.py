@@ -134,6 +134,14 @@ def test_top_k_of_repeated_ids(spark, tmp_path):
     assert sorted(map(tuple, topk.top_k(whole, whole.where("id % 50 = 0"), block_bytes=90).collect())) == sorted(want)
 
 
+def test_top_k_of_empty_vectors(spark):
+    some = [(0, [1.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0, 1.0])]
+    for empty, want in (([50], []), ([50, 51, 100, 7], [(50, 1, 7, 0), (50, 2, 51, 0), (50, 3, 100, 0), (100, 1, 7, 0), (100, 2, 50, 0), (100, 3, 51, 0)])):
+        whole = topk.whole_numbers(spark.createDataFrame(some + [(i, []) for i in empty], "vec_id bigint, embedding array<float>"))
+        got = topk.top_k(whole, whole.where("id % 50 = 0")).collect()
+        assert sorted(map(tuple, got)) == [(0, 1, 1, 6 * 256 * 256), (0, 2, 2, 3 * 256 * 256), *want]
+
+
 def test_quality(spark):
     words = [f"plain{i % 97} prose{i % 89}" for i in range(900)]
     rows = [(i, " ".join(words[i : i + 60]) if i % 2 else "### " * 20 + " *** ".join(words[i : i + 20])) for i in range(400)] + [(400, None), (401, "")]
