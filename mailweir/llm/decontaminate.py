@@ -5,7 +5,7 @@ of the terms that can anchor a search (a term's postings are one sorted run of p
 starts with the rarest terms of a window, by their counts in the whole corpus: the posting lists of
 its rarest terms, each moved back by the term's offset in the window, are intersected list by list,
 rarest first, and what survives is compared word for word. Proximity search intersects the
-same lists within a distance instead of at an exact offset.
+same lists within a distance instead of at an exact offset, window by window.
 
 Words are `[0-9a-z]` and all non-ASCII bytes, after A-Z is lower-cased. Benchmark items are looked for
 in parts of bounded size, one after the other; a document's hits are merged over the parts.
@@ -250,25 +250,42 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, within: int = 20, terms_each: int = 3, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id and the number of places where an item's rarest terms stand within a distance."""
+    """doc_id, item_id and the number of places where the rarest terms of a window of an item stand within a distance.
+
+    A window is a run of WINDOW words of the item, or of within + 1 if that is less, so that a copy always is a match. Its
+    rarest terms are those of the terms that the corpus has; a window with fewer than `terms_each` of these matches
+    nowhere, unless it has no more terms itself. A place is the position of a window's rarest term.
+    """
     out = None
     for part in item_parts(benchmark, item, item_text):
         terms = Terms(part, 1)
         counts = term_counts(docs, terms, text)
         terms.size = within + 1
-        wanted = defaultdict(set)
+        size = min(WINDOW, within + 1)
+        found_in: dict[tuple[int, ...], set[int]] = defaultdict(set)
         for i, data in part:
-            wanted[i].update(terms.number[w] for w in words(data))
-        plan = [(i, sorted(ids, key=lambda t: (counts[t], t))[:terms_each]) for i, ids in wanted.items() if ids]
+            ids = [terms.number[w] for w in words(data)]
+            for k in range(max(len(ids) - size + 1, min(len(ids), 1))):
+                window = set(ids[k : k + size])
+                rare = sorted((t for t in window if counts[t]), key=lambda t: (counts[t], t))[:terms_each]
+                if len(rare) == min(terms_each, len(window)):
+                    found_in[tuple(rare)].add(i)
+        plan = list(found_in.items())
         terms.indexed = np.zeros(len(terms.number) + 1, bool)
-        terms.indexed[[t for _, ids in plan for t in ids]] = True
+        terms.indexed[[t for rare, _ in plan for t in rare]] = True
 
         def run(batches: Iterator[pa.RecordBatch], terms: Terms = terms, plan: list = plan) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column(text))
                 for begin, end in _blocks(texts):
                     index = BlockIndex(texts[begin:end], terms)
-                    rows = [(ids[begin + d], i, n) for i, ts in plan for d, n in zip(*(x.tolist() for x in np.unique(index.texts_of(index.near(ts, within)), return_counts=True)), strict=True)]
+                    places = defaultdict(set)
+                    for rare, items in plan:
+                        at = index.near(rare, within).tolist()
+                        if at:
+                            for i in items:
+                                places[i].update(at)
+                    rows = [(ids[begin + d], i, n) for i, at in places.items() for d, n in zip(*(x.tolist() for x in np.unique(index.texts_of(np.array(sorted(at))), return_counts=True)), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "item_id", "places"])
 
         found = docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, item_id bigint, places bigint")
