@@ -10,8 +10,11 @@ skip work:
 * Answer level. In each list a pivot set is compared with the others first. From the overlaps with
   the pivot, the overlap of two members is bounded from above and below; only where the bounds leave the
   answer open are the two sets read and compared.
-* Links only matter between sets that aren't yet in one component, so a list whose members all are in one
-  component is done. A list of m copies of a text thus costs m comparisons, not m * m.
+* Links only matter for components between sets that aren't yet in one component, so a list whose members all are in
+  one component is done. A list of m copies of a text thus costs m comparisons, not m * m.
+
+All links (`set_links`) are then sought within components, as no link leaves one: the sets of a component are dealt into
+sides by size, and any two sides whose sizes allow a link meet once, in one task, by counting common shingles.
 
 How many sets hold a shingle is counted exactly: blocks of sets send their sorted shingles to hash buckets, a
 row for each block and bucket, and get back only those that are shared. No group of equal or similar
@@ -48,6 +51,8 @@ BLOCK_SHINGLES, BUCKET_SHINGLES = 2 << 20, 4 << 20
 CHUNK_LINKS = 1 << 18
 #: Members of a list's largest component that are compared with the rest of the list in one turn.
 PIVOTS = 4
+#: Sets and shingles of one side of a comparison in `set_links`, and shingles that are counted at a time.
+SIDE_SETS, SIDE_SHINGLES, COUNTED = 512, 1 << 19, 4096
 #: Bytes that are hashed at a time.
 SEGMENT = 1 << 20
 
@@ -479,27 +484,121 @@ def _open_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return marked.where(~F.coalesce(same & ~_linked(most, F.col("n"), F.col("pn")), F.lit(False))).select("p", "sig", "pn", "n", "pc", "comp", "sure")
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sig and comp (one set of the component; null for the empty set) of every document, and what else `docs` has beside its text."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of `left` has in common with each of `right`; a set's shingles are distinct."""
+    known = np.unique(np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.int64)
+    sides = []
+    for side in (left, right):
+        keys, owner = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        some = known[at] == keys
+        order = np.argsort(at[some], kind="stable")
+        sides.append((at[some][order], owner[some][order]))
+    for begin in range(0, len(known), COUNTED):
+        both = []
+        for (at, owner), side in zip(sides, (left, right), strict=True):
+            i, j = np.searchsorted(at, (begin, begin + COUNTED))
+            has = np.zeros((len(side), min(COUNTED, len(known) - begin)), np.float32)
+            has[owner[i:j], at[i:j] - begin] = 1
+            both.append(has)
+        out += (both[0] @ both[1].T).astype(np.int64)
+    return out
+
+
+def set_links(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every link between two distinct sets, once: p, sig (p < sig), pm, m (`copies` of either), o (overlap).
+
+    `sets` has a column copies beside those of `shared_shingles`; labels are of `set_components`.
+    """
+    own = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    rows = sets.join(labels, "sig").withColumn("own", own)
+    groups = rows.groupBy("comp", "own").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("keys") / 8).alias("s"))
+    sides = F.ceil(F.greatest(F.col("c") / SIDE_SETS, F.col("s") / SIDE_SHINGLES)).cast("int")
+    groups = stored(groups.select("comp", "own", "c", sides.alias("k")), "groups")
+    many = groups.groupBy("comp").agg(F.sum("c").alias("c")).where("c > 1").select("comp")
+    near = lambda step, name: groups.select("comp", (F.col("own") - step).alias("own"), F.col("k").alias(name))
+    dealt = groups.join(many, "comp", "left_semi").join(near(1, "up"), ["comp", "own"], "left").join(near(-1, "down"), ["comp", "own"], "left")
+    rows = rows.join(dealt.select("comp", "own", "k", "up", "down"), ["comp", "own"]).withColumn("side", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
+    meet = lambda a, i, b, j: F.struct(a.cast("int").alias("a"), i.cast("int").alias("i"), b.cast("int").alias("b"), j.cast("int").alias("j"))
+    each = lambda n, f: F.when(F.col(n).isNull(), F.array().cast("array<struct<a:int,i:int,b:int,j:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1), f))
+    mine, at = F.col("own"), F.col("side")
+    meetings = F.concat(each("k", lambda x: meet(mine, F.least(at, x), mine, F.greatest(at, x))), each("up", lambda x: meet(mine, at, mine + 1, x)), each("down", lambda x: meet(mine - 1, x, mine, at)))
+    rows = rows.select("comp", "sig", "n", "keys", "copies", "own", "side", F.explode(meetings).alias("t")).select("comp", "t.*", "sig", "n", "keys", "copies", ((mine == F.col("t.a")) & (at == F.col("t.i"))).alias("left"))
+    task = ["comp", "a", "i", "b", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            one, two = [r for r in held if r[4]], [r for r in held if not r[4]]
+            alone = now[1:3] == now[3:]
+            two = one if alone else two
+            if not one or not two or (alone and len(one) < 2):
+                return
+            o = _common([r[2] for r in one], [r[2] for r in two])
+            n, m = (np.array([r[1] for r in side], np.int64) for side in (one, two))
+            x, y = np.nonzero(_linked(o, n[:, None], m[None, :]) & (np.triu(np.ones(o.shape, bool), 1) if alone else True))
+            if not len(x):
+                return
+            names = [r[0] for r in one] + [r[0] for r in two]
+            copies = np.array([r[3] for r in one] + [r[3] for r in two], np.int64)
+            place = np.empty(len(names), np.int64)
+            place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+            u, w = x, y + len(one)
+            first = np.where(place[u] < place[w], u, w)
+            second = u + w - first
+            sigs, both = pa.array(names, pa.binary()), o[x, y]
+            for k in range(0, len(x), 1 << 16):
+                f, g = first[k : k + (1 << 16)], second[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([sigs.take(pa.array(f)), sigs.take(pa.array(g)), pa.array(copies[f]), pa.array(copies[g]), pa.array(both[k : k + (1 << 16)])], ["p", "sig", "pm", "m", "o"])
+
+        for batch in batches:
+            for *key, sig, n, keys, copies, left in zip(*(batch.column(c).to_pylist() for c in (*task, "sig", "n", "keys", "copies", "left")), strict=True):
+                if key != now:
+                    if held:
+                        yield from finish()
+                    now, held = key, []
+                held.append((sig, n, np.frombuffer(keys, np.int64), copies, left))
+        if held:
+            yield from finish()
+
+    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(run, "p binary, sig binary, pm bigint, m bigint, o bigint")
+
+
+def _labelled(docs: DataFrame, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, sig and comp (one set of the component; null for the empty set) of every document, and what else `docs` has beside its text.
+
+    With `links` also n_links, the number of other documents that it links with.
+    """
     ids = stored(set_ids(docs), "sets")
     total = ids.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
-        return ids.withColumn("comp", F.col("sig"))
+        return ids.withColumn("comp", F.col("sig")).withColumns({"n_links": F.lit(0).cast("bigint")} if links else {})
     sets = shared_shingles(docs, total)
     labels, _ = set_components(sets)
-    return ids.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    if not links:
+        return ids.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    copies = stored(ids.where("sig IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("copies")), "copies")
+    ends = F.explode(F.array(F.struct(F.col("p").alias("sig"), F.col("m").alias("k")), F.struct(F.col("sig"), F.col("pm").alias("k")))).alias("e")
+    linked = set_links(sets.join(copies, "sig"), labels).select(ends).groupBy("e.sig").agg(F.sum("e.k").alias("others"))
+    found = copies.join(labels, "sig", "left").join(linked, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return ids.join(found, "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document."""
-    joined = _labelled(docs.select("doc_id", "text"))
+def jaccard_components(docs: DataFrame, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
+
+    With `links` also n_links, the number of other documents that it links with.
+    """
+    joined = _labelled(docs.select("doc_id", "text"), links)
     least = joined.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *(["n_links"] if links else []))
 
 
 def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: the set size and the component of every document."""
-    return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Contract query: the set size, the component and the number of links of every document."""
+    return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), links=True)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -105,3 +105,32 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(t for d, t in keys if d is None) == ["a null id alone", "only nulls hold this text"]
     assert sorted(k for _, t, k in got if not (t or "").strip()) == [41, 42, 43, 44, 45]
     assert all(row in rows for row in got)
+
+
+def test_every_link_is_found(spark, monkeypatch, tmp_path):
+    """Numbers of links against brute force, with groups that are larger than a side."""
+    from mailweir.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SIDE_SETS", 16)
+    monkeypatch.setattr(jaccard, "COUNTED", 50)
+    rng = random.Random(9)
+    word = lambda: "w" + str(rng.randint(0, 300))
+    texts = []
+    for size, many in ((100, 120), (40, 30), (12, 20), (300, 9)):
+        base = [word() for _ in range(size)]
+        for _ in range(many):  # near copies, shorter and longer ones
+            copy = base[: rng.randint(size * 3 // 4, size)] + [word() for _ in range(rng.randint(0, size // 8))]
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = word()
+            texts += [" ".join(copy)] * rng.choice((1, 1, 1, 3))
+    texts += [" ".join(word() for _ in range(30)) for _ in range(20)] + ["a b", "A B", "x", "", None, " "]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    links = [sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert max(links) > 40
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.op3_jaccard_components(spark, str(tmp_path)).collect())
+    assert got == [(*b, k) for b, k in zip(sorted(brute(rows)), links, strict=True)]
