@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,24 +45,32 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/mailweir-{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go when it ends, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = fresh_path(spark, label), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before or "false")
+    back = spark.read.schema(df.schema).parquet(path)
     back._mailweir_path = path
     return back
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of `stored` that nothing reads any more, and let Spark drop finished shuffles."""
+    """Delete tables of `stored` that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._mailweir_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,12 +101,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
 
 
 def add_columns(
-    df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]
+    df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], most: int = 8 << 20
 ) -> DataFrame:
     """All columns of df and new ones, from a function of Arrow batches; map-only.
 
-    `make` runs once in each task and gives the function. A column of df whose name (in any
-    case) is that of a new one is replaced.
+    `make` runs once in each task and gives the function, which gets about `most` bytes of text at a time. A column of df
+    whose name (in any case) is that of a new one is replaced.
     """
     taken = {name.lower() for name, _ in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
@@ -109,7 +116,7 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 made = work(part)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, *(n for n, _ in fields)])
 

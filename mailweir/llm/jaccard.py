@@ -32,8 +32,9 @@ gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from mailweir.llm.common import LOWER_AZ, discard, read_table, slices, stored, t
 
 WORDS, SHARE = 5, 75
 #: Shingles of one block of sets, and of one hash bucket (both bound a task's memory).
-BLOCK_SHINGLES, BUCKET_SHINGLES = 2 << 20, 4 << 20
+BLOCK_SHINGLES, BUCKET_SHINGLES = 1 << 20, 2 << 20
 #: Links that a task contracts at a time.
 CHUNK_LINKS = 1 << 18
 #: Members of a list's largest component that are compared with the rest of the list in one turn.
@@ -181,7 +182,7 @@ _SENT = "head int, bucket int, block bigint, a binary, b binary, c binary"
 
 
 def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
-    """sig, n and keys (shared shingles, as 64-bit numbers in list order) of every distinct set that may have a link."""
+    """id, sig, n and keys (shared shingles, as 64-bit numbers in list order) of every distinct set that may have a link."""
     bits = min(max(6, int(-(-shingles // BUCKET_SHINGLES) - 1).bit_length()), 14)
     buckets, drop = 1 << bits, _U(16 - bits)
 
@@ -285,17 +286,15 @@ def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
 
     sent = docs.select("text").mapInArrow(send, _SENT)
     counted = stored(sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "head int, block bigint, a binary, b binary, c binary"), "counted")
-    del sent
-    discard()
-    docs.sparkSession._jvm.System.gc()  # the shuffle of all shingles isn't needed any more
     sets = counted.repartition("block").sortWithinPartitions("block").mapInArrow(gather, "sig binary, n int, keys binary")
-    out = stored(sets.groupBy("sig", "n").agg(F.first("keys").alias("keys")), "shared")
+    out = sets.groupBy("sig", "n").agg(F.first("keys").alias("keys"))
+    out = stored(out.select(F.monotonically_increasing_id().alias("id"), "sig", "n", "keys"), "shared")
     discard(counted)
     return out
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """The index lists: key, band (block of the list by size), own (the set's band), sig, n, pos (place in the set's order).
+    """The index lists: key, band (block of the list by size), own (the set's band), id, n, pos (place in the set's order).
 
     Bands are powers of 4/3, so that similar sets are in one band or in neighbours; a block holds a band and
     the next larger one.
@@ -303,30 +302,28 @@ def _postings(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
-            sigs: list[bytes] = []
-            for sig, n, blob in zip(b.column("sig").to_pylist(), b.column("n").to_pylist(), b.column("keys").to_pylist(), strict=True):
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for i, n, blob in zip(b.column("id").to_pylist(), b.column("n").to_pylist(), b.column("keys").to_pylist(), strict=True):
                 shared = np.frombuffer(blob, np.int64)
                 alone = n - len(shared)  # shingles of this set alone come first
                 own = int(np.log(n) / np.log(4 / 3) + 1e-9)
                 for band in (own, own - 1):
                     smallest = max(int(_least(n)), int((4 / 3) ** band))
-                    first = n - _both(n, smallest) + 1 - alone
+                    first = min(n - _both(n, smallest) + 1 - alone, len(shared))
                     if first > 0:
-                        for column, x in zip(columns, (shared[:first], *(np.full(min(first, len(shared)), v) for v in (band, own, n)), np.arange(alone, alone + min(first, len(shared)))), strict=True):
+                        for column, x in zip(columns, (shared[:first], *(np.full(first, v) for v in (band, own, i, n)), np.arange(alone, alone + first)), strict=True):
                             column.append(x)
-                        sigs += [sig] * min(first, len(shared))
-            key, band, own_, n_, pos = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (band, own_)), pa.array(sigs, pa.binary()), *(pa.array(x.astype(np.int32)) for x in (n_, pos))], ["key", "band", "own", "sig", "n", "pos"])
+            key, band, own_, id_, n_, pos = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (band, own_)), pa.array(id_, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (n_, pos))], ["key", "band", "own", "id", "n", "pos"])
 
-    return sets.mapInArrow(run, "key bigint, band int, own int, sig binary, n int, pos int")
+    return sets.select("id", "n", "keys").mapInArrow(run, "key bigint, band int, own int, id bigint, n int, pos int")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add the exact overlap of each pair (p, sig); sets that many pairs name are split by Spark's join."""
-    one = sets.select(F.col("sig"), F.col("keys").alias("x"))
-    two = sets.select(F.col("sig").alias("p"), F.col("keys").alias("y"))
-    read = pairs.join(one, "sig").join(two, "p")
+    """Add the exact overlap of each pair (p, id); sets that many pairs name are split by Spark's join."""
+    one = sets.select("id", F.col("keys").alias("x"))
+    two = sets.select(F.col("id").alias("p"), F.col("keys").alias("y"))
+    read = pairs.join(one, "id").join(two, "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, None
@@ -338,9 +335,9 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 other = np.frombuffer(x, np.int64)
                 at = np.minimum(np.searchsorted(pivot, other), len(pivot) - 1)
                 both.append(int((pivot[at] == other).sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("p", "sig", "pn", "n", "pc", "comp")), pa.array(both, pa.int32())], ["p", "sig", "pn", "n", "pc", "comp", "o"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("p", "id", "pn", "n", "pc", "comp")), pa.array(both, pa.int32())], ["p", "id", "pn", "n", "pc", "comp", "o"])
 
-    return read.mapInArrow(run, "p binary, sig binary, pn int, n int, pc binary, comp binary, o int")
+    return read.mapInArrow(run, "p bigint, id bigint, pn int, n int, pc bigint, comp bigint, o int")
 
 
 def _linked(o, n, m):
@@ -349,23 +346,22 @@ def _linked(o, n, m):
 
 
 def _stars(links: DataFrame, level: int) -> DataFrame:
-    """Each set of the links (p, sig) with the first set that it reaches over the links of one task, in this level's order.
+    """Each set of the links (p, id) with the first set that it reaches over the links of one task, in this level's order.
 
     A task holds CHUNK_LINKS links at a time. The order is another one at each level, so that every level leaves fewer sets.
     """
     salt = _mix(np.array([level + 1], _U) * _BASE)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[bytes, int] = {}
-        ends: list[int] = []
+        held: list[np.ndarray] = []
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            names = list(number)
-            rank = _mix(np.frombuffer(b"".join(x[:8] for x in names), _U) ^ salt) >> _U(1)
+        def finish() -> pa.RecordBatch:
+            names, ends = np.unique(np.concatenate(held), return_inverse=True)
+            rank = _mix(names.astype(_U) ^ salt) >> _U(1)
             order = np.argsort(rank, kind="stable")
             place = np.empty(len(names), np.int64)
             place[order] = np.arange(len(names))
-            u, w = place[np.array(ends)].reshape(-1, 2).T
+            u, w = place[ends].reshape(-1, 2).T
             low = np.arange(len(names))
             while (low[u] != low[w]).any():
                 x, y = low[u], low[w]
@@ -374,45 +370,52 @@ def _stars(links: DataFrame, level: int) -> DataFrame:
                 np.minimum.at(low, y, least)
                 while ((far := low[low]) != low).any():
                     low = far
-            for i in range(0, len(names), 1 << 14):
-                who, first = order[i : i + (1 << 14)], order[low[i : i + (1 << 14)]]
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in who], pa.binary()), pa.array(rank[first].astype(np.int64)), pa.array([names[k] for k in first], pa.binary())], ["sig", "rank", "root"])
+            first = order[low]
+            return pa.RecordBatch.from_arrays([pa.array(names[order]), pa.array(rank[first].astype(np.int64)), pa.array(names[first])], ["id", "rank", "root"])
 
         for b in batches:
-            for link in zip(b.column("p").to_pylist(), b.column("sig").to_pylist(), strict=True):
-                ends += [number.setdefault(x, len(number)) for x in link]
-            if len(ends) >= 2 * CHUNK_LINKS:
-                yield from finish()
-                number, ends = {}, []
-        if ends:
-            yield from finish()
+            held.append(np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("p", "id")], 1).ravel())
+            if sum(map(len, held)) >= 2 * CHUNK_LINKS:
+                yield finish()
+                held = []
+        if sum(map(len, held)):
+            yield finish()
 
-    return links.select("p", "sig").mapInArrow(run, "sig binary, rank bigint, root binary")
+    return links.select("p", "id").mapInArrow(run, "id bigint, rank bigint, root bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """sig and comp (one set of the component, the same for all) of every set that links (p, sig) name.
+    """id and comp (one set of the component, the same for all) of every set that links (p, id) name.
 
     Each task contracts its links to stars. A set's roots, one for each task that met it, are then links of the
     next level, which holds roots only.
     """
     levels = []
     while True:
-        roots = _stars(links, len(levels)).groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("rank", "root"))).alias("roots"))
-        now = stored(roots.select("sig", F.col("roots")[0]["root"].alias("comp"), F.transform(F.expr("slice(roots, 2, size(roots))"), lambda r: r["root"]).alias("others")), "level")
+        roots = _stars(links, len(levels)).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("rank", "root"))).alias("roots"))
+        now = stored(roots.select("id", F.col("roots")[0]["root"].alias("comp"), F.transform(F.expr("slice(roots, 2, size(roots))"), lambda r: r["root"]).alias("others")), "level")
         levels.append(now)
         left = now.agg(F.sum(F.size("others"))).first()[0]
         if not left:
             break
-        links = now.select(F.col("comp").alias("p"), F.explode("others").alias("sig")).coalesce(-(-left // CHUNK_LINKS))
-    found = levels.pop().select("sig", "comp")
+        links = now.select(F.col("comp").alias("p"), F.explode("others").alias("id")).coalesce(-(-left // CHUNK_LINKS))
+    found = levels.pop().select("id", "comp")
     for now in reversed(levels):
-        found = now.select("sig", "comp").join(found.select(F.col("sig").alias("comp"), F.col("comp").alias("far")), "comp", "left").select("sig", F.coalesce("far", "comp").alias("comp"))
+        found = now.select("id", "comp").join(found.select(F.col("id").alias("comp"), F.col("comp").alias("far")), "comp", "left").select("id", F.coalesce("far", "comp").alias("comp"))
     return found
 
 
+_MEMBER = {"p": "id", "pn": "n", "ppos": "pos", "pown": "own", "pc": "comp"}
+
+
+def _member(salt: int, suffix: str = "") -> list:
+    """Of the rows of a group, that of the set with the smallest hash, as aggregates that Spark keeps in a hash table."""
+    h = F.xxhash64("id", F.lit(salt))  # of a long: no two sets have one
+    return [F.min_by(of, h).alias(name + suffix) for name, of in _MEMBER.items()]
+
+
 def _meetings(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Pairs (p < sig) that a list suggests: each row with the pivots of its list.
+    """Pairs (p < id) that a list suggests: each row with the pivots of its list.
 
     Left out are pairs of one component, pairs that another block of the list holds, and pairs whose sizes or
     places in the list rule out a link: if this is their first common shingle, no more than what follows can
@@ -423,13 +426,13 @@ def _meetings(rows: DataFrame, pivots: DataFrame) -> DataFrame:
         (F.col("comp") != F.col("pc")) & (F.least("own", "pown") == F.col("band")) & (100 * F.least("n", "pn") >= SHARE * F.greatest("n", "pn"))
         & (F.col("n") - F.col("pos") >= need) & (F.col("pn") - F.col("ppos") >= need)
     )
-    less = F.col("p") < F.col("sig")
+    less = F.col("p") < F.col("id")
     pick = lambda a, b: F.when(less, F.col(a)).otherwise(F.col(b))
-    return met.select(pick("p", "sig").alias("p"), pick("sig", "p").alias("sig"), pick("pn", "n").alias("pn"), pick("n", "pn").alias("n"), pick("pc", "comp").alias("pc"), pick("comp", "pc").alias("comp")).distinct()
+    return met.select(pick("p", "id").alias("p"), pick("id", "p").alias("id"), pick("pn", "n").alias("pn"), pick("n", "pn").alias("n"), pick("pc", "comp").alias("pc"), pick("comp", "pc").alias("comp")).distinct()
 
 
-def set_components(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sig and comp of every set of `shared_shingles`, and the links that were found (p, sig).
+def set_components(sets: DataFrame) -> DataFrame:
+    """id and comp of every set of `shared_shingles`.
 
     First every list's pivot meets the others. Where a list still has several components, a few members of its
     largest one (PIVOTS, twice) meet what isn't in it. What then is left meets all of its list.
@@ -437,35 +440,44 @@ def set_components(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = _postings(sets)
     many = lists.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     lists = stored(lists.join(many, ["key", "band"], "left_semi"), "lists")
-    member = lambda salt: F.struct(F.xxhash64("sig", F.lit(salt)).alias("h"), F.col("sig").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("own").alias("pown"), F.col("comp").alias("pc"))
-    labels, links, known = sets.select("sig", F.col("sig").alias("comp")), None, None
+    labels, known = sets.select("id", F.col("id").alias("comp")), []
     for turn in range(4):
-        rows = lists.join(labels, "sig")
+        rows = lists.join(labels, "id")
         if turn == 0:
-            heads = rows.groupBy("key", "band").agg(F.min(member(0)).alias("pivot"))
-            todo = _meetings(rows, heads.select("key", "band", "pivot.*").drop("h")).withColumn("sure", F.lit(False))
+            todo = _meetings(rows, rows.groupBy("key", "band").agg(*_member(0))).withColumn("sure", F.lit(False))
         else:
-            by_comp = rows.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("m"), *(F.min(member(PIVOTS * turn + i)).alias(f"p{i}") for i in range(PIVOTS)))
-            heads = by_comp.groupBy("key", "band").agg(F.max_by(F.struct("comp", F.array(*(f"p{i}" for i in range(PIVOTS))).alias("some")), F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-            left = stored(rows.join(heads.select("key", "band", F.col("top.comp").alias("main")), ["key", "band"]).where("comp <> main").drop("main"), "left")
-            if not left.limit(1).count():
+            several = rows.groupBy("key", "band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+            open_lists = stored(rows.join(several.select("key", "band"), ["key", "band"], "left_semi"), "open")
+            discard(lists)  # from here on, lists whose members are all in one component are left out
+            lists, rows = open_lists.drop("comp"), open_lists
+            lists._mailweir_path = open_lists._mailweir_path
+            by_comp = rows.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("m"), *(c for i in range(PIVOTS) for c in _member(PIVOTS * turn + i, str(i))))
+            largest = by_comp.groupBy("key", "band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+            left = rows.join(largest, ["key", "band"]).where("comp <> main").drop("main")
+            if not rows.limit(1).count():
+                discard(lists)
                 break
             if turn < 3:
-                some = heads.select("key", "band", F.explode(F.array_distinct("top.some")).alias("pivot")).select("key", "band", "pivot.*").drop("h")
+                each = F.array_distinct(F.array(*(F.struct(*(F.col(f"{c}{i}").alias(c) for c in _MEMBER)) for i in range(PIVOTS))))
+                heads = by_comp.join(largest, ["key", "band"]).where("comp = main")
+                some = heads.select("key", "band", F.explode(each).alias("pivot")).select("key", "band", "pivot.*")
             else:
-                some = rows.select("key", "band", F.col("sig").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("own").alias("pown"), F.col("comp").alias("pc"))
-            todo = _open_pairs(_meetings(left, some).join(known.select("p", "sig"), ["p", "sig"], "left_anti"), known)
+                some = rows.select("key", "band", *(F.col(of).alias(c) for c, of in _MEMBER.items()))
+            before = functools.reduce(DataFrame.unionAll, known)
+            todo = _open_pairs(_meetings(left, some).join(before.select("p", "id"), ["p", "id"], "left_anti"), before)
         todo = stored(todo, "pairs")
         found = _overlaps(todo.where("NOT sure").drop("sure"), sets)
-        found = stored(found.unionAll(todo.where("sure").select("p", "sig", "pn", "n", "pc", "comp", F.lit(None).cast("int").alias("o"))), "overlaps")
-        discard(todo, *([left] if turn else []))
+        found = stored(found.unionAll(todo.where("sure").select("p", "id", "pn", "n", "pc", "comp", F.lit(None).cast("int").alias("o"))), "overlaps")
+        discard(todo)
+        known.append(found)
         new = found.where(F.col("o").isNull() | _linked(F.col("o"), F.col("n"), F.col("pn")))
-        links = new.select("p", "sig") if links is None else links.unionAll(new.select("p", "sig"))
-        known = found if known is None else known.unionAll(found)
-        merged = components(new.select(F.col("pc").alias("p"), F.col("comp").alias("sig")))  # of components, not of sets
-        merged = merged.select(F.col("sig").alias("comp"), F.col("comp").alias("now"))
-        labels = stored(labels.join(merged, "comp", "left").select("sig", F.coalesce("now", "comp").alias("comp")), "components")
-    return labels, links
+        merged = components(new.select(F.col("pc").alias("p"), F.col("comp").alias("id")))  # of components, not of sets
+        merged = merged.select(F.col("id").alias("comp"), F.col("comp").alias("now"))
+        old, labels = labels, stored(labels.join(merged, "comp", "left").select("id", F.coalesce("now", "comp").alias("comp")), "components")
+        if turn:
+            discard(old)
+    discard(*known)
+    return labels
 
 
 def _open_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -473,15 +485,15 @@ def _open_pairs(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
     Each set's best known pivot is that with which it shares most.
     """
-    best = known.where("o IS NOT NULL").groupBy("sig").agg(F.max_by(F.struct("p", "pn", "o"), "o").alias("k"))
-    of = lambda name: best.select(F.col("sig").alias(name), F.col("k").alias(f"k_{name}"))
-    both = pairs.join(of("p"), "p", "left").join(of("sig"), "sig", "left")
-    same = F.col("k_p.p") == F.col("k_sig.p")
-    a, b = F.col("k_p.o"), F.col("k_sig.o")
+    best = known.where("o IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("p", "pn", "o"), "o").alias("k"))
+    of = lambda name: best.select(F.col("id").alias(name), F.col("k").alias(f"k_{name}"))
+    both = pairs.join(of("p"), "p", "left").join(of("id"), "id", "left")
+    same = F.col("k_p.p") == F.col("k_id.p")
+    a, b = F.col("k_p.o"), F.col("k_id.o")
     most = F.least(a, b) + F.least(F.col("pn") - a, F.col("n") - b)
     least = a + b - F.col("k_p.pn")
     marked = both.withColumn("sure", F.coalesce(same & _linked(least, F.col("n"), F.col("pn")), F.lit(False)))
-    return marked.where(~F.coalesce(same & ~_linked(most, F.col("n"), F.col("pn")), F.lit(False))).select("p", "sig", "pn", "n", "pc", "comp", "sure")
+    return marked.where(~F.coalesce(same & ~_linked(most, F.col("n"), F.col("pn")), F.lit(False))).select("p", "id", "pn", "n", "pc", "comp", "sure")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -506,26 +518,32 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def set_links(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every link between two distinct sets, once: p, sig (p < sig), pm, m (`copies` of either), o (overlap).
+_TASK = ["comp", "a", "i", "b", "j"]
+
 
-    `sets` has a column copies beside those of `shared_shingles`; labels are of `set_components`.
+def _meeting_sides(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sets (id, n, keys, copies) of each component of several, once for each meeting (_TASK) that they take part in; left: on which side.
+
+    A component's sets are dealt into sides by size; any two sides whose sizes allow a link meet. `labels` has id, comp and copies.
     """
     own = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
-    rows = sets.join(labels, "sig").withColumn("own", own)
+    rows = sets.select("id", "n", "keys").join(labels, "id").withColumn("own", own)
     groups = rows.groupBy("comp", "own").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("keys") / 8).alias("s"))
     sides = F.ceil(F.greatest(F.col("c") / SIDE_SETS, F.col("s") / SIDE_SHINGLES)).cast("int")
     groups = stored(groups.select("comp", "own", "c", sides.alias("k")), "groups")
     many = groups.groupBy("comp").agg(F.sum("c").alias("c")).where("c > 1").select("comp")
     near = lambda step, name: groups.select("comp", (F.col("own") - step).alias("own"), F.col("k").alias(name))
     dealt = groups.join(many, "comp", "left_semi").join(near(1, "up"), ["comp", "own"], "left").join(near(-1, "down"), ["comp", "own"], "left")
-    rows = rows.join(dealt.select("comp", "own", "k", "up", "down"), ["comp", "own"]).withColumn("side", F.pmod(F.xxhash64("sig"), F.col("k")).cast("int"))
+    rows = rows.join(dealt.select("comp", "own", "k", "up", "down"), ["comp", "own"]).withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     meet = lambda a, i, b, j: F.struct(a.cast("int").alias("a"), i.cast("int").alias("i"), b.cast("int").alias("b"), j.cast("int").alias("j"))
     each = lambda n, f: F.when(F.col(n).isNull(), F.array().cast("array<struct<a:int,i:int,b:int,j:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1), f))
     mine, at = F.col("own"), F.col("side")
     meetings = F.concat(each("k", lambda x: meet(mine, F.least(at, x), mine, F.greatest(at, x))), each("up", lambda x: meet(mine, at, mine + 1, x)), each("down", lambda x: meet(mine - 1, x, mine, at)))
-    rows = rows.select("comp", "sig", "n", "keys", "copies", "own", "side", F.explode(meetings).alias("t")).select("comp", "t.*", "sig", "n", "keys", "copies", ((mine == F.col("t.a")) & (at == F.col("t.i"))).alias("left"))
-    task = ["comp", "a", "i", "b", "j"]
+    return rows.select("comp", "id", "n", "keys", "copies", "own", "side", F.explode(meetings).alias("t")).select("comp", "t.*", "id", "n", "keys", "copies", ((mine == F.col("t.a")) & (at == F.col("t.i"))).alias("left"))
+
+
+def _compared(sets: DataFrame, labels: DataFrame, emit: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `emit` makes of each meeting: ids and copies of both sides in a row, and for each link two places in these, and the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -539,35 +557,57 @@ def set_links(sets: DataFrame, labels: DataFrame) -> DataFrame:
             o = _common([r[2] for r in one], [r[2] for r in two])
             n, m = (np.array([r[1] for r in side], np.int64) for side in (one, two))
             x, y = np.nonzero(_linked(o, n[:, None], m[None, :]) & (np.triu(np.ones(o.shape, bool), 1) if alone else True))
-            if not len(x):
-                return
-            names = [r[0] for r in one] + [r[0] for r in two]
-            copies = np.array([r[3] for r in one] + [r[3] for r in two], np.int64)
-            place = np.empty(len(names), np.int64)
-            place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-            u, w = x, y + len(one)
-            first = np.where(place[u] < place[w], u, w)
-            second = u + w - first
-            sigs, both = pa.array(names, pa.binary()), o[x, y]
-            for k in range(0, len(x), 1 << 16):
-                f, g = first[k : k + (1 << 16)], second[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([sigs.take(pa.array(f)), sigs.take(pa.array(g)), pa.array(copies[f]), pa.array(copies[g]), pa.array(both[k : k + (1 << 16)])], ["p", "sig", "pm", "m", "o"])
+            if len(x):
+                ids, copies = (np.array([r[k] for r in one] + [r[k] for r in two], np.int64) for k in (0, 3))
+                yield from emit(ids, copies, x, y + len(one), o[x, y])
 
         for batch in batches:
-            for *key, sig, n, keys, copies, left in zip(*(batch.column(c).to_pylist() for c in (*task, "sig", "n", "keys", "copies", "left")), strict=True):
+            for *key, i, n, keys, copies, left in zip(*(batch.column(c).to_pylist() for c in (*_TASK, "id", "n", "keys", "copies", "left")), strict=True):
                 if key != now:
                     if held:
                         yield from finish()
                     now, held = key, []
-                held.append((sig, n, np.frombuffer(keys, np.int64), copies, left))
+                held.append((i, n, np.frombuffer(keys, np.int64), copies, left))
         if held:
             yield from finish()
 
-    return rows.repartition(*task).sortWithinPartitions(*task).mapInArrow(run, "p binary, sig binary, pm bigint, m bigint, o bigint")
+    return _meeting_sides(sets, labels).repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(run, schema)
+
+
+def set_links(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every link between two distinct sets, once: p, id (p < id), pm, m (`copies` of either), o (overlap).
+
+    `labels` has a column copies beside those of `set_components`.
+    """
+
+    def emit(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, y: np.ndarray, o: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, second = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+        for k in range(0, len(x), 1 << 16):
+            f, g = first[k : k + (1 << 16)], second[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[f], ids[g], copies[f], copies[g], o[k : k + (1 << 16)])], ["p", "id", "pm", "m", "o"])
+
+    return _compared(sets, labels, emit, "p bigint, id bigint, pm bigint, m bigint, o bigint")
+
+
+def link_counts(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """id and others, the number of documents with another set that a set links with; sets without any are left out.
+
+    The links of a meeting are counted where they are found, and no row is made for a link. Two sets that are a component are linked.
+    """
+    comps = stored(labels.groupBy("comp").agg(F.count(F.lit(1)).alias("c"), F.sum("copies").alias("t")).where("c > 1"), "sizes")
+    pairs = labels.join(comps.where("c = 2"), "comp").select("id", (F.col("t") - F.col("copies")).alias("others"))
+
+    def emit(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, y: np.ndarray, o: np.ndarray) -> Iterator[pa.RecordBatch]:
+        others = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
+        some = np.flatnonzero(others)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(others[some].astype(np.int64))], ["id", "others"])
+
+    large = labels.join(comps.where("c > 2").select("comp"), "comp", "left_semi")
+    return _compared(sets, large, emit, "id bigint, others bigint").groupBy("id").agg(F.sum("others").alias("others")).unionByName(pairs)
 
 
 def _labelled(docs: DataFrame, links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, sig and comp (one set of the component; null for the empty set) of every document, and what else `docs` has beside its text.
+    """doc_id, n_shingles, sig and comp (a name of the component; null for the empty set) of every document, and what else `docs` has beside its text.
 
     With `links` also n_links, the number of other documents that it links with.
     """
@@ -576,13 +616,17 @@ def _labelled(docs: DataFrame, links: bool = False) -> DataFrame:
     if not total:
         return ids.withColumn("comp", F.col("sig")).withColumns({"n_links": F.lit(0).cast("bigint")} if links else {})
     sets = shared_shingles(docs, total)
-    labels, _ = set_components(sets)
+    labels = set_components(sets)
+    name = F.concat(F.lit("c"), F.col("comp").cast("string")).cast("binary").alias("comp")
     if not links:
-        return ids.join(labels, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+        found = stored(sets.select("id", "sig").join(labels, "id").select("sig", name), "labels")
+        discard(sets, labels)
+        return ids.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     copies = stored(ids.where("sig IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("copies")), "copies")
-    ends = F.explode(F.array(F.struct(F.col("p").alias("sig"), F.col("m").alias("k")), F.struct(F.col("sig"), F.col("pm").alias("k")))).alias("e")
-    linked = set_links(sets.join(copies, "sig"), labels).select(ends).groupBy("e.sig").agg(F.sum("e.k").alias("others"))
-    found = copies.join(labels, "sig", "left").join(linked, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    marked = stored(sets.select("id", "sig").join(copies, "sig").join(labels, "id"), "marked")
+    found = marked.join(link_counts(sets, marked.drop("sig")), "id", "left").select("sig", name, "others")
+    found = stored(copies.join(found, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "labels")
+    discard(sets, labels, copies, marked)
     return ids.join(found, "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 

@@ -73,15 +73,13 @@ def test_long_texts_hash_in_segments():
 
 def test_components_of_long_chains(spark, monkeypatch):
     """Chains that no task holds whole need several levels; each ends as one component."""
-    import hashlib
-
     from mailweir.llm import jaccard
 
     monkeypatch.setattr(jaccard, "CHUNK_LINKS", 40)
-    name = lambda c, i: hashlib.blake2b(b"%d/%d" % (c, i), digest_size=16).digest()
+    name = lambda c, i: (c << 40) + i * 7919
     links = [(name(c, i), name(c, i + 1)) for c in range(5) for i in range(60)] + [(name(9, 0), name(9, i)) for i in range(1, 200)]
     random.Random(1).shuffle(links)
-    got = {r["sig"]: r["comp"] for r in jaccard.components(spark.createDataFrame(links, "p binary, sig binary").repartition(12)).collect()}
+    got = {r["id"]: r["comp"] for r in jaccard.components(spark.createDataFrame(links, "p bigint, id bigint").repartition(12)).collect()}
     groups = [{name(c, i) for i in range(61)} for c in range(5)] + [{name(9, i) for i in range(200)}]
     assert len(got) == sum(map(len, groups))
     firsts = [{got[x] for x in g} for g in groups]
