@@ -6,40 +6,48 @@ changes three leaves, each repaired along its path to the root; it ends when the
 Words of one tree size are merged together, a step of all of them at a time.
 
 Texts are cut at places where the pre-tokenizer always cuts: before a space between two characters
-that aren't white space. Pieces that a worker has met before come from a cache of fixed size.
+that aren't white space. A batch's distinct pieces are found by Arrow, those that a worker has met before come from
+a cache of bounded bytes, and the ids of the texts are put together by numpy.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to "". The special
-token's string in a text is that token, as in the library. Ids outside the vocabulary decode to nothing.
+token's string in a text is that token, as in the library. Ids outside the vocabulary decode to nothing. Texts of any
+length are encoded whole, and an empty table gives no rows. A column named like an output is replaced.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailweir.llm.common import MAX_BROADCAST_BYTES, add_columns, read_table
 
-#: The published split pattern of the byte-level vocabulary.
+#: The published split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces that a worker remembers in each of two generations.
-CACHE_PIECES = 300_000
-#: New pieces that are encoded at a time.
-ENCODE_PIECES = 50_000
+#: Bytes of text that are encoded at a time, if no text has more.
+ENCODE_BYTES = 8 << 20
+#: Bytes of pieces and ids that a worker remembers.
+CACHE_BYTES = 24 << 20
+#: Words that are merged side by side.
+BESIDE_WORDS = 20_000
 #: Longest word, in symbols, that is merged beside others; longer ones go one by one.
 BESIDE = 65
 
 _NONE = np.int64(1) << 62
 _SHIFT = 32
-_TWO_SPACES = re.compile(r"\s\s")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Bytes that are white space to Python or to the library, and the first bytes of longer white space.
+_WHITE, _LEAD = np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def vocabulary(name: str) -> str:
@@ -49,40 +57,128 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(text: str) -> tuple[str, list[str]]:
-    """Cut a text where every pre-tokenizer of this family cuts: its first piece, and the others without their leading space."""
-    if _TWO_SPACES.search(text):
-        first, *rest = _SAFE_CUT.split(text)
-        return first, [x[1:] for x in rest]
-    first, *rest = text.split(" ")
-    return first, rest
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space, or the first or last byte of a white character."""
+    white = _WHITE[data]
+    lead = np.flatnonzero(_LEAD[data[:-1]]) if len(data) > 1 else np.empty(0, np.int64)
+    if len(lead):
+        a, b = data[lead], data[lead + 1]
+        c = data[np.minimum(lead + 2, len(data) - 1)]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+        three |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        white[lead[two | three]] = True
+        white[lead[two] + 1] = True
+        white[np.minimum(lead[three] + 2, len(data) - 1)] = True
+    return white
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts in a row, and the number of each text's first one (one more at the end).
+
+    A text is cut before a space between two characters that aren't white space, where every pre-tokenizer of this
+    family cuts.
+    """
+    array = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = array.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
+    begin, end = (int(bounds[0]), int(bounds[-1])) if len(array) else (0, 0)
+    data = pa.py_buffer(b"") if data is None else data.slice(begin, end - begin)
+    raw, bounds = np.frombuffer(data, np.uint8), bounds - begin
+    first = np.zeros(len(raw), bool)
+    if len(raw):
+        white = _white(raw)
+        first[1:-1] = (raw[1:-1] == 32) & ~white[:-2] & ~white[2:]
+        first[bounds[:-1][np.diff(bounds) > 0]] = True
+    starts = np.flatnonzero(first)
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw)).astype(np.int32).tobytes()), data])
+    return pieces, np.searchsorted(starts, bounds)
+
+
+def lengths(array: pa.Array) -> np.ndarray:
+    """Bytes of each value of a binary or string array with 32-bit offsets, as `cut` and `take` give it."""
+    return np.diff(np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1])
+
+
+def content(array: pa.Array) -> bytes:
+    """The bytes of all values in a row."""
+    ends = np.frombuffer(array.buffers()[1], np.int32)[[array.offset, array.offset + len(array)]].tolist()
+    return array.buffers()[2].slice(ends[0], ends[1] - ends[0]).to_pybytes() if array.buffers()[2] is not None else b""
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs number `at` of a row of runs of these sizes, in a row, and where each begins (one more at the end)."""
+    begin, each = np.cumsum(sizes) - sizes, sizes[at]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each, dtype=np.int64)])
+    small = np.int32 if max(int(ends[-1]), len(flat)) < 1 << 31 else np.int64
+    return flat[np.arange(ends[-1], dtype=small) + np.repeat((begin[at] - ends[:-1]).astype(small), each)], ends
+
+
+def in_order(n: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of n things in a row and how many each has, from parts: numbers of things, their ids in a row, how many each has."""
+    counts = np.zeros(n, np.int64)
+    for part, _, m in parts:
+        counts[part] = m
+    flat, begin = np.empty(int(counts.sum()), kind), np.cumsum(counts) - counts
+    for part, ids, m in parts:
+        flat[np.arange(len(ids)) + np.repeat(begin[part] - (np.cumsum(m) - m), m)] = ids
+    return flat, counts
 
 
 class PieceCache:
-    """Packed ids of texts by way of their pieces, which are kept in two generations of bounded size."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_PIECES) -> None:
-        self.encode, self.most, self.young, self.old = encode, most, {}, {}
-
-    def texts(self, texts: Iterable[str]) -> list[bytes]:
-        """The packed ids of each text."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        cut = [pieces(t) for t in texts]
-        firsts = dict.fromkeys(f for f, _ in cut)
-        firsts = dict(zip(firsts, self.encode(list(firsts)), strict=True))
-        new = set().union(*(rest for _, rest in cut)).difference(young)
-        young.update((p, old[p]) for p in new & old.keys())
-        todo = [p for p in new if p not in young]
-        for start in range(0, len(todo), ENCODE_PIECES):
-            part = todo[start : start + ENCODE_PIECES]
-            young.update(zip(part, self.encode([" " + p for p in part]), strict=True))
-        return [firsts[f] + b"".join([young[p] for p in rest]) for f, rest in cut]
+    """The ids of pieces that a worker has met, in Arrow and numpy arrays of bounded bytes."""
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], kind: str, most: int = CACHE_BYTES) -> None:
+        self.encode, self.kind, self.most = encode, kind, most
+        self._keep(pa.array([], pa.binary()), np.empty(0, kind), np.empty(0, np.int64))
+
+    def _keep(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.pieces, self.ids, self.sizes = pieces, ids, sizes
+
+    def find(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of ids in a row, their sizes, and the number of the run of each of some distinct pieces."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        at[new] = len(self.pieces) + np.arange(len(new))
+        todo = pieces.take(pa.array(new))
+        ids, sizes = self.encode(todo)
+        ids, sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        known = pa.concat_arrays([self.pieces, todo])
+        if known.nbytes + ids.nbytes + sizes.nbytes <= self.most:
+            self._keep(known, ids, sizes)
+        else:  # start anew with what this batch holds, if that isn't too much
+            some, ends = gathered(ids, sizes, at)
+            if pieces.nbytes + some.nbytes + ends.nbytes <= self.most:
+                self._keep(pieces, some, np.diff(ends))
+            else:
+                self._keep(pieces.slice(0, 0), some[:0], sizes[:0])
+        return ids, sizes, at
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each begin (one more at the end)."""
+        pieces, first = cut(texts)
+        coded = pieces.dictionary_encode()
+        ids, sizes, at = self.find(coded.dictionary)
+        found, ends = gathered(ids, sizes, at[coded.indices.to_numpy(zero_copy_only=False)])
+        return found, ends[first]
+
+
+def joinable(pieces: pa.Array) -> np.ndarray:
+    """Which pieces begin with one space and end without white space: between two of these every pre-tokenizer cuts."""
+    raw, sizes = np.frombuffer(content(pieces), np.uint8), lengths(pieces)
+    white, ends = _white(raw), np.cumsum(sizes)
+    begin = ends - sizes
+    return (sizes > 1) & (raw[begin] == 32) & ~white[np.minimum(begin + 1, len(raw) - 1)] & ~white[ends - 1]
+
+
+def packed_rows(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each text's ids as bytes, from `PieceCache.texts`."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
 
 
 def byte_letters() -> dict[str, int]:
-    """The published alphabet of the vocabulary files: printable bytes stand for themselves, the others follow from 256."""
+    """Fixed values, the published alphabet of the vocabulary files: printable bytes stand for themselves, the others follow from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -116,7 +212,8 @@ class Bpe:
         self.pairs = dict(zip(codes.tolist(), range(len(codes)), strict=True))
         self.split = regex.compile(PATTERN)
         self.split_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.cache = PieceCache(self.encode_pieces)
+        self.tokens = pa.array(self.bytes_of, pa.large_binary())
+        self.cache = PieceCache(self.encode_pieces, "<u4")
 
     # -- merging ------------------------------------------------------------------------------
 
@@ -128,14 +225,13 @@ class Bpe:
         i = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where((self.codes[i] == code) & (left >= 0) & (right >= 0), (self.ranks[i] << _SHIFT) | at, _NONE)
 
-    def merge_beside(self, words: list[bytes], leaves: int) -> tuple[np.ndarray, np.ndarray]:
-        """Merge words of 2 to leaves + 1 bytes; leaves is a power of two. Returns all ids and the ids in each word."""
-        n, null = len(words), leaves + 1
-        sizes = np.array([len(w) for w in words])
+    def merge_beside(self, raw: np.ndarray, sizes: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merge words of 2 to leaves + 1 bytes, given in a row; leaves is a power of two. Returns all ids and the ids in each word."""
+        n, null = len(sizes), leaves + 1
         rows = np.repeat(np.arange(n), sizes)
         cols = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         symbol = np.full((n, leaves + 2), -1, np.int64)
-        symbol[rows, cols] = self.base[np.frombuffer(b"".join(words), np.uint8)]
+        symbol[rows, cols] = self.base[raw]
         after = np.tile(np.arange(1, leaves + 3), (n, 1))
         after[np.arange(n), sizes - 1] = null
         before = np.tile(np.arange(-1, leaves + 1), (n, 1))
@@ -215,62 +311,108 @@ class Bpe:
                 repair(before[i], put(before[i], i))
         return [s for s in symbol if s >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Packed 32-bit ids of each pre-token."""
-        out: list[bytes] = [b""] * len(words)
-        groups: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) == 1:
-                out[i] = int(self.base[w[0]]).to_bytes(4, "little")
-            elif len(w) > BESIDE:
-                out[i] = np.array(self.merge_alone(w), "<u4").tobytes()
-            elif w:
-                groups.setdefault(1 << (len(w) - 2).bit_length(), []).append(i)
-        for leaves, members in groups.items():
-            for start in range(0, len(members), 20_000):
-                part = members[start : start + 20_000]
-                ids, counts = self.merge_beside([words[i] for i in part], leaves)
-                flat, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-                begin = 0
-                for i, end in zip(part, ends, strict=True):
-                    out[i], begin = flat[begin:end], end
-        return out
-
-    def encode_pieces(self, todo: list[str]) -> list[bytes]:
-        parts: list[list[bytes | int]] = []
-        words: dict[bytes, bytes] = {}
-        for piece in todo:
-            part: list[bytes | int] = []
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pre-tokens in a row, and how many each has."""
+        sizes, out = lengths(words), []
+        one = np.flatnonzero(sizes == 1)
+        if len(one):
+            out.append((one, self.base[np.frombuffer(content(words.take(pa.array(one))), np.uint8)], np.ones(len(one), np.int64)))
+        for i in np.flatnonzero(sizes > BESIDE).tolist():
+            ids = self.merge_alone(words[i].as_py())
+            out.append((np.array([i]), np.array(ids, np.int64), np.array([len(ids)])))
+        beside = np.flatnonzero((sizes > 1) & (sizes <= BESIDE))
+        leaves = 1 << np.ceil(np.log2(np.maximum(sizes[beside] - 1, 1))).astype(np.int64)
+        for size in np.unique(leaves).tolist():
+            members = beside[leaves == size]
+            for start in range(0, len(members), BESIDE_WORDS):
+                part = members[start : start + BESIDE_WORDS]
+                out.append((part, *self.merge_beside(np.frombuffer(content(words.take(pa.array(part))), np.uint8), sizes[part], size)))
+        return in_order(len(words), out, "<u4")
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces in a row, and how many each has.
+
+        Pieces that can stand side by side are split into pre-tokens as one text, the others and those with a special token alone.
+        """
+        if not len(pieces):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        beside = joinable(pieces)
+        text = content(pieces.filter(pa.array(beside))).decode()
+        if self.split_special and self.split_special.search(text):
+            beside &= ~pc.match_substring_regex(pieces.cast(pa.string()), "|".join(re.escape(x) for x in self.special)).to_numpy(zero_copy_only=False)
+            text = content(pieces.filter(pa.array(beside))).decode()
+        words = self.split.findall(text)
+        ends = np.cumsum(lengths(pa.array(words, pa.string())))
+        number, counts = np.flatnonzero(beside), np.zeros(len(pieces), np.int64)
+        counts[number] = np.diff(np.searchsorted(ends, np.cumsum(lengths(pieces)[number]), side="left") + 1, prepend=0)
+        alone: dict[int, list[str | int]] = {}
+        for i in np.flatnonzero(~beside).tolist():
+            part: list[str | int] = []
+            piece = pieces[i].as_py().decode()
             for k, run in enumerate(self.split_special.split(piece) if self.split_special else [piece]):
-                part += [self.special[run]] if k % 2 else [w.encode() for w in self.split.findall(run)]
-            parts.append(part)
-            words.update((w, b"") for w in part if isinstance(w, bytes))
-        distinct = list(words)
-        words = dict(zip(distinct, self.encode_words(distinct), strict=True))
-        return [b"".join([words[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in part]) for part in parts]
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids of each text."""
+                part += [self.special[run]] if k % 2 else self.split.findall(run)
+            alone[i], counts[i] = part, len(part)
+        others = [w for part in alone.values() for w in part]
+        coded = pa.array([*words, *("" if isinstance(w, int) else w for w in others)], pa.string()).dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary())
+        ids, n = self.encode_words(distinct)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        if any(isinstance(w, int) for w in others):  # special tokens are words of one id
+            known = {i: k for k, i in enumerate(self.special.values())}
+            at = at.copy()
+            for k, w in enumerate(others, len(words)):
+                at[k] = len(distinct) + known[w] if isinstance(w, int) else at[k]
+            ids, n = np.append(ids, np.array(list(known), np.uint32)), np.append(n, np.ones(len(known), np.int64))
+        # words stand in the order of the joined pieces, then of the others: bring them into the order of the pieces
+        order = np.concatenate([number, np.array(list(alone), np.int64)])
+        per = counts[order]
+        begin = np.empty(len(pieces), np.int64)
+        begin[order] = np.cumsum(per) - per
+        found, bounds = gathered(ids, n, at[np.arange(int(counts.sum())) + np.repeat(begin - (np.cumsum(counts) - counts), counts)])
+        return found, np.diff(bounds[np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each begin (one more at the end)."""
         return self.cache.texts(texts)
 
-    def decode(self, ids: bytes) -> str:
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The text of each run of ids; what isn't UTF-8 is replaced, as the library does."""
+        joined = self.tokens.take(pa.array(np.minimum(ids, len(self.bytes_of) - 1) if len(ids) else ids))
+        sizes = np.diff(np.frombuffer(joined.buffers()[1], np.int64)[: len(ids) + 1]) if len(ids) else np.empty(0, np.int64)
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        ends, data = total[bounds], joined.buffers()[2] if len(ids) else None
+        whole = data.slice(0, int(total[-1])).to_pybytes() if data is not None else b""
+        raw = np.frombuffer(whole, np.uint8)
+        try:
+            whole.decode()
+            apart = not len(raw) or not ((raw[np.minimum(ends[:-1], len(raw) - 1)] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            apart = False
+        if apart and int(ids.max(initial=0)) < len(self.bytes_of) and ends[-1] < 1 << 31:
+            return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(whole)])
         known, n = self.bytes_of, len(self.bytes_of)
-        found = np.frombuffer(ids, "<u4").tolist()
-        joined = b"".join([known[i] for i in found]) if not found or max(found) < n else b"".join([known[i] for i in found if i < n])
-        return joined.decode("utf-8", "replace")
+        return pa.array([b"".join([known[i] for i in ids[a:b].tolist() if i < n]).decode("utf-8", "replace") for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], pa.string())
 
 
 _models: dict[tuple[str, str], object] = {}
 
 
 def worker_model(kind: str, content: bytes, build: Callable[[bytes], object]):
-    """One model for each vocabulary in a Python worker, kept between tasks."""
+    """The model of a vocabulary in a Python worker, kept between tasks; a worker holds one model at a time."""
     key = (kind, hashlib.sha256(content).hexdigest())
     if key not in _models:
+        release_models()
         _models[key] = build(content)
     return _models[key]
 
 
+def release_models() -> None:
+    """Free what earlier tasks left in this worker."""
+    if _models:
+        _models.clear()
+        gc.collect()
+
+
 def load(spark: SparkSession, path: str):
     """A vocabulary file as a broadcast of checked size; the driver reads it, so executors need no file."""
     content = Path(path).read_bytes()
@@ -287,12 +429,12 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", count
         model = worker_model("bpe", shared.value, Bpe)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            packed = model.encode([t or "" for t in batch.column(text).to_pylist()])
-            return [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+            found, bounds = model.encode(batch.column(text))
+            return [pa.array(np.diff(bounds)), packed_rows(found, bounds)]
 
         return work
 
-    return add_columns(df, text, [(count, "bigint"), (ids, "binary")], make)
+    return add_columns(df, text, [(count, "bigint"), (ids, "binary")], make, ENCODE_BYTES)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -301,9 +443,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def make():
         model = worker_model("bpe", shared.value, Bpe)
-        return lambda batch: [pa.array([model.decode(x or b"") for x in batch.column(ids).to_pylist()], pa.string())]
 
-    return add_columns(df, ids, [(text, "string")], make)
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            packed = [x or b"" for x in batch.column(ids).to_pylist()]
+            return [model.decode(np.frombuffer(b"".join(packed), "<u4"), np.cumsum([0, *(len(x) // 4 for x in packed)]))]
+
+        return work
+
+    return add_columns(df, ids, [(text, "string")], make, ENCODE_BYTES)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -314,12 +461,12 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         model = worker_model("bpe", shared.value, Bpe)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            packed = model.encode([t or "" for t in batch.column(text).to_pylist()])
-            return [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array([model.decode(p) for p in packed], pa.string())]
+            found, bounds = model.encode(batch.column(text))
+            return [pa.array(np.diff(bounds)), packed_rows(found, bounds), model.decode(found, bounds)]
 
         return work
 
-    return add_columns(df, text, [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "string")], make)
+    return add_columns(df, text, [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "string")], make, ENCODE_BYTES)
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:

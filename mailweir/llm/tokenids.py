@@ -1,17 +1,21 @@
 """Token-id files with a minimal perfect hash index.
 
-A shard file is a run of blocks. A block holds the raw ids of consecutive documents (16 or 32 bits,
-as the vocabulary needs), their offsets, the document keys in order, and an index: a minimal perfect
-hash of the distinct keys (displacements by bucket; single keys get a free slot directly) whose slots
-store a 32-bit fingerprint and the document's position. A key is found with two reads, and a foreign
-key is refused by its fingerprint. Blocks end with a trailer that the reader splits at, so files are
-written and read by Spark alone and reads are dealt out by byte range.
+A shard file holds the raw ids of documents (16 or 32 bits, as the vocabulary needs) in blocks, each framed by its length, with
+the documents' keys and offsets. Documents are in ascending key order over all shards; shard bounds are quantiles of the
+key, and a key that holds more than a shard is dealt over several.
 
-Documents are in ascending key order over all shards; shard bounds are quantiles of the key.
+The index maps a key to its shard file, the byte offset of its ids there and their number. It is cut by a hash of the key into
+files of about INDEX_KEYS keys; each holds a minimal perfect hash of its keys (displacements by bucket; single keys get a free slot
+directly), whose slots store a 32-bit fingerprint and the place. A key is found with one index file and one shard file, whatever
+their number, and a foreign key is refused by its fingerprint, or else by the key that stands at its place.
+
+Files are written and read by Spark alone: one task writes a shard, and its number is in the file's name.
 
 Defined results: a null text counts as empty and has the end id only. Null keys come first, are
-written, and aren't indexed. Of documents with the same key the index names the first; ties are
-ordered by their ids. Extra columns are left out of the files.
+written, and aren't indexed. Of documents with the same key the index names the first in the files; these are in the order of
+their ids within a shard, and in no order over the shards of a key that holds several. Keys are integers; others are refused with
+a TypeError. Texts of any length are one document; an empty table gives no shard and finds no key. Extra columns, whatever their
+names, are left out of the files.
 """
 
 from __future__ import annotations
@@ -19,21 +23,27 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mailweir.llm.bpe import PieceCache, load, vocabulary, worker_model
-from mailweir.llm.common import fresh_path, partitions, read_table, slices
+from mailweir.llm.bpe import ENCODE_BYTES, PieceCache, content, in_order, joinable, lengths, load, packed_rows, vocabulary, worker_model
+from mailweir.llm.common import fresh_path, partitions, read_table, slices, stored
 
-#: Ends every block; ids, offsets and slots of a block are checked not to hold it.
-TRAILER = "\n=end of token block=\n"
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 20
-_HEAD = "<4sBBHIIIIQ"  # magic, id bytes, spare, spare, shard, block, documents, keys, ids
+#: Bytes of text in a shard; more shards are made than the session's shuffle width if that leaves more.
+SHARD_BYTES = 256 << 20
+#: Keys in an index file, on average.
+INDEX_KEYS = 1 << 18
+#: Index or shard files that a lookup names one by one; if its keys need more, all are read.
+MOST_FILES = 1000
+_LOW = -(1 << 63)
+_HEAD = "<4sBBHIIQ"  # magic, id bytes, spare, spare, shard, documents, ids
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -95,56 +105,74 @@ def _slots(keys: np.ndarray, seed: int, displace: np.ndarray, n: int) -> tuple[n
     return np.where(d < 0, -d - 1, direct), mark
 
 
+def _frame(data: bytes) -> bytes:
+    return struct.pack("<Q", len(data)) + data
+
+
+def _frames(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Where each block of a file begins, and its bytes; a line end follows each."""
+    at = 0
+    while at < len(data):
+        (n,) = struct.unpack_from("<Q", data, at)
+        yield at + 8, data[at + 8 : at + 8 + n]
+        at += n + 9
+
+
 class Block:
     """A block of a shard file: write it with `pack`, open its bytes with the constructor."""
 
     def __init__(self, data: bytes) -> None:
-        magic, width, _, _, self.shard, self.number, docs, keys, ids = struct.unpack_from(_HEAD, data)
+        magic, self.width, _, _, self.shard, docs, ids = struct.unpack_from(_HEAD, data)
+        self.first = at = struct.calcsize(_HEAD)
         if magic != b"TIDB":
             raise ValueError("not a token block")
-        at = struct.calcsize(_HEAD)
-        sections = ((f"<u{width}", ids), ("<i8", docs), ("<u8", docs + 1), ("u1", docs), ("<u4", 1), ("<i4", keys // 2 + 1), ("<u4", keys), ("<u4", keys))
         found = []
-        for kind, n in sections:
+        for kind, n in ((f"<u{self.width}", ids), ("<i8", docs), ("<u8", docs + 1), ("u1", docs)):
             found.append(np.frombuffer(data, kind, n, at))
             at += found[-1].nbytes
         if at != len(data):
             raise ValueError(f"a token block of {len(data)} bytes should have {at}")
-        self.ids, self.keys, self.offsets, self.null, seed, self.displace, self.marks, self.positions = found
-        self.seed = int(seed[0])
+        self.ids, self.keys, self.offsets, self.null = found
 
     @staticmethod
-    def pack(shard: int, number: int, keys: list[int | None], docs: list[np.ndarray], width: int) -> bytes:
-        null = np.array([k is None for k in keys], np.uint8)
-        values = np.array([k or 0 for k in keys], np.int64)
-        known = np.flatnonzero(null == 0)
-        distinct, first = np.unique(values[known], return_index=True)
-        seed, displace, slot = build_hash(distinct)
-        marks, positions = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.uint32)
-        marks[slot] = _parts(distinct, seed, len(distinct))[3] if len(distinct) else 0
-        positions[slot] = known[first]
-        offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype("<u8")
-        ids = np.concatenate(docs).astype(f"<u{width}")
-        head = struct.pack(_HEAD, b"TIDB", width, 0, 0, shard, number, len(docs), len(distinct), len(ids))
-        return b"".join([head, *(x.tobytes() for x in (ids, values.astype("<i8"), offsets, null, np.array([seed], "<u4"), displace.astype("<i4"), marks.astype("<u4"), positions.astype("<u4")))])
-
-    def positions_of(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key's (first) document is, -1 for keys that aren't here; constant time a key."""
-        n = len(self.marks)
-        if not n:
-            return np.full(len(keys), -1)
-        slot, mark = _slots(keys, self.seed, self.displace, n)
-        at = self.positions[slot].astype(np.int64)
-        return np.where((self.marks[slot] == mark) & (self.keys[at] == keys), at, -1)
-
-    def get(self, key: int) -> np.ndarray | None:
-        """The ids of a key's document."""
-        at = int(self.positions_of(np.array([key], np.int64))[0])
-        return None if at < 0 else self.ids[int(self.offsets[at]) : int(self.offsets[at + 1])]
+    def pack(shard: int, keys: list[int | None], docs: list[bytes], width: int) -> bytes:
+        offsets = np.concatenate([[0], np.cumsum([len(d) // width for d in docs])]).astype("<u8")
+        head = struct.pack(_HEAD, b"TIDB", width, 0, 0, shard, len(docs), int(offsets[-1]))
+        return b"".join([head, *docs, np.array([k or 0 for k in keys], "<i8").tobytes(), offsets.tobytes(), np.array([k is None for k in keys], np.uint8).tobytes()])
+
+
+class IndexPart:
+    """One file of the index: a minimal perfect hash of its keys, and a fingerprint and a place in each slot."""
+
+    @staticmethod
+    def pack(keys: np.ndarray, shard: np.ndarray, offset: np.ndarray, count: np.ndarray) -> bytes:
+        seed, displace, slot = build_hash(keys)
+        n = len(keys)
+        parts = [np.array([n, seed], "<u4"), displace.astype("<i4")]
+        for values, kind in ((_parts(keys, seed, n)[3], "<u4"), (shard, "<i4"), (offset, "<u8"), (count, "<u4")):
+            placed = np.zeros(n, kind)
+            placed[slot] = values
+            parts.append(placed)
+        return b"".join(x.tobytes() for x in parts)
+
+    def __init__(self, data: bytes) -> None:
+        n, self.seed = np.frombuffer(data, "<u4", 2).tolist()
+        at, found = 8, []
+        for kind, m in (("<i4", n // 2 + 1), ("<u4", n), ("<i4", n), ("<u8", n), ("<u4", n)):
+            found.append(np.frombuffer(data, kind, m, at))
+            at += found[-1].nbytes
+        self.displace, self.marks, self.shard, self.offset, self.count = found
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the keys are found, and shard, offset and number of ids of those; constant time a key."""
+        slot, mark = _slots(keys, self.seed, self.displace, len(self.marks))
+        known = self.marks[slot] == mark
+        at = slot[known]
+        return known, self.shard[at], self.offset[at], self.count[at]
 
 
 class LibraryEncoder:
-    """The tokenizers library's encoder; it sees every distinct piece of a text once while a worker remembers it."""
+    """The tokenizers library's encoder; many distinct pieces go to it as one text."""
 
     def __init__(self, content: bytes) -> None:
         from tokenizers import Tokenizer
@@ -152,6 +180,7 @@ class LibraryEncoder:
         self.model = Tokenizer.from_str(content.decode())
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        self.cache = PieceCache(self.encode_pieces, self.kind)
         spec = json.loads(content)
         self.sizes = None
         if spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"]:
@@ -160,30 +189,31 @@ class LibraryEncoder:
                 self.sizes[i] = len(token)
             for t in spec["added_tokens"]:
                 self.sizes[t["id"]] = len(t["content"].encode())
-        self.cache = PieceCache(self.encode_pieces)
-
-    def encode_pieces(self, todo: list[str]) -> list[bytes]:
-        """The library encodes many pieces as one text: between " a" and " b" it always cuts."""
-        out: list[bytes] = [b""] * len(todo)
-        joined = [i for i, p in enumerate(todo) if p[:1] == " " and not p[1:2].isspace() and not p[-1].isspace()] if self.sizes is not None else []
-        for start in range(0, len(joined), 1000):
-            part = joined[start : start + 1000]
-            ids = np.array(self.model.encode("".join([todo[i] for i in part]), add_special_tokens=False).ids, self.kind)
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(todo[i].encode()) for i in part])) + 1
-            flat, begin = ids.tobytes(), 0
-            for i, end in zip(part, (self.width * ends).tolist(), strict=True):
-                out[i] = flat[begin:end]
-                begin = end
-        rest = [i for i, o in enumerate(out) if not o and todo[i]]
-        for i, ids in zip(rest, self._alone([todo[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
-
-    def _alone(self, todo: list[str]) -> list[bytes]:
-        return [np.array(self.model.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for t in todo]
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        return self.cache.texts(texts)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces in a row, and how many each has."""
+        beside = np.flatnonzero(joinable(pieces)) if self.sizes is not None and len(pieces) else np.empty(0, np.int64)
+        out = []
+        for start in range(0, len(beside), 2000):
+            part = beside[start : start + 2000]
+            some = pieces.take(pa.array(part))
+            ids = self._ids(content(some).decode())
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(lengths(some))) + 1
+            out.append((part, ids, np.diff(ends, prepend=0)))
+        for i in np.setdiff1d(np.arange(len(pieces)), beside).tolist():
+            ids = self._ids(pieces[i].as_py().decode())
+            out.append((np.array([i]), ids, np.array([len(ids)])))
+        return in_order(len(pieces), out, self.kind)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each begin (one more at the end)."""
+        if self.sizes is not None:
+            return self.cache.texts(texts)
+        each = [self._ids(t or "") for t in texts.to_pylist()]
+        return np.concatenate([np.empty(0, self.kind), *each]), np.cumsum([0, *map(len, each)])
 
 
 def _encoder(content: bytes) -> LibraryEncoder:
@@ -193,134 +223,202 @@ def _encoder(content: bytes) -> LibraryEncoder:
     return worker_model("library", content, LibraryEncoder)
 
 
-def write_ids(docs: DataFrame, vocabulary_path: str, out: str, key: str = "doc_id", text: str = "text", shards: int | None = None, end_id: int = 0) -> None:
-    """Write shard files of all documents, in ascending key order, under `out`.
+def _checked(df: DataFrame, key: str):
+    """The key as a long, if it is an integer."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"keys of token files are integers; {key} is {df.schema[key].dataType.simpleString()}")
+    return F.col(f"`{key}`").cast("bigint")
+
 
-    One exchange, of ids rather than texts, by shard number. Shards are as many as the session's
-    shuffle partitions unless given.
+def write_ids(docs: DataFrame, vocabulary_path: str, out: str, key: str = "doc_id", text: str = "text", shards: int | None = None, end_id: int = 0, index_keys: int = INDEX_KEYS) -> None:
+    """Write shard files of all documents, in ascending key order, and their index, under `out`.
+
+    One exchange, of ids rather than texts, by shard number; the index exchanges places only. Shards are as many as the
+    session's shuffle partitions, or as SHARD_BYTES makes necessary, unless given.
     """
     spark = docs.sparkSession
-    n = shards or partitions(spark)
-    cuts = docs.select(key).dropna().approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = np.unique(np.array(cuts, np.float64).astype(np.int64))
+    rows = docs.select(_checked(docs, key).alias("key"), F.col(f"`{text}`").alias("text"))
+    n = shards or max(partitions(spark), int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
+    found = rows.agg(F.percentile_approx(F.coalesce("key", F.lit(_LOW)), [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    cuts = np.array(found or [], np.int64)
     shared = load(spark, vocabulary_path)
 
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _encoder(shared.value)
-        end = end_id.to_bytes(model.width, "little")
+        model, seen = _encoder(shared.value), 0
+        end = np.array([end_id], model.kind)
         for batch in batches:
-            for b in slices(batch, text):
-                shard = np.searchsorted(cuts, b.column(key).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-                packed = [x + end for x in model.encode([t or "" for t in b.column(text).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column(key), pa.array(packed, pa.binary())], ["shard", key, "packed"])
-
-    dealt = docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(encode, f"shard int, `{key}` bigint, packed binary")
-    ordered = dealt.repartitionById(n, "shard").sortWithinPartitions("shard", F.col(key).asc_nulls_first(), "packed")
+            for b in slices(batch, "text", ENCODE_BYTES):
+                keys = b.column("key").fill_null(_LOW).to_numpy(zero_copy_only=False)
+                low, high = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
+                several = np.maximum(high - low, 1)  # shards that a key fills, between two of its cuts
+                shard = np.where(high > low, low + 1 + (seen + np.arange(len(keys))) % several, low)
+                seen += len(keys)
+                ids, bounds = model.encode(b.column("text"))
+                ids, bounds = np.insert(ids, bounds[1:], end), bounds + np.arange(len(bounds))
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column("key"), packed_rows(ids, bounds)], ["shard", "key", "packed"])
+
+    dealt = rows.mapInArrow(encode, "shard int, key bigint, packed binary")
+    ordered = dealt.repartitionById(n, "shard").sortWithinPartitions(F.col("key").asc_nulls_first(), "packed")
+    width = _encoder(shared.value).width
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _encoder(shared.value).width
         keys: list[int | None] = []
-        docs_: list[np.ndarray] = []
-        shard = number = total = 0
+        held: list[bytes] = []
+        shard = total = 0
 
         def flush() -> pa.RecordBatch:
-            data = Block.pack(shard, number, keys, docs_, width)
-            if TRAILER.encode() in data:
-                raise ValueError("a token block holds the trailer; choose another block size")
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["block"])
+            return pa.RecordBatch.from_arrays([pa.array([_frame(Block.pack(shard, keys, held, width))], pa.binary())], ["block"])
 
         for b in batches:
-            for s, k, p in zip(b.column("shard").to_pylist(), b.column(key).to_pylist(), b.column("packed").to_pylist(), strict=True):
-                if keys and (total >= BLOCK_IDS or s != shard):
-                    yield flush()
-                    keys, docs_, total, number = [], [], 0, number + 1 if s == shard else 0
-                shard = s
+            for shard, k, p in zip(b.column("shard").to_pylist(), b.column("key").to_pylist(), b.column("packed").to_pylist(), strict=True):  # noqa: B007
                 keys.append(k)
-                docs_.append(np.frombuffer(p, f"<u{width}"))
-                total += len(docs_[-1])
+                held.append(p)
+                total += len(p)
+                if total >= BLOCK_IDS * width:
+                    yield flush()
+                    keys, held, total = [], [], 0
         if keys:
             yield flush()
 
-    ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", TRAILER).text(out)
-
+    ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.text(f"{out}/shards")
+    places = stored(read_shards(spark, out, crc=False).where("named").select("key", "shard", "offset", "n"), "places")
+    parts = max(1, -(-places.count() // index_keys))
 
-def read_blocks(spark: SparkSession, out: str) -> DataFrame:
-    """One row for each block of the shard files: column block, binary."""
-    return spark.read.option("lineSep", TRAILER).text(out).select(F.col("value").cast("binary").alias("block"))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in batches for x in [[b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "shard", "offset", "n")]]]
+        if found:
+            key, shard, offset, count = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((offset, shard, key))
+            first = order[np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([_frame(IndexPart.pack(key[first], shard[first], offset[first], count[first]))], pa.binary())], ["block"])
 
+    index = places.repartitionById(parts, _part(F.col("key"), parts)).mapInArrow(hashed, "block binary")
+    index.select(F.col("block").cast("string").alias("value")).write.text(f"{out}/index")
+    spark.range(1).select(F.lit(str(parts)).alias("value")).write.text(f"{out}/parts")
 
-def read_documents(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, read through the index of each block.
-
-    Blocks are numbered within shards and shards in key order, so a start is the sum of the shards
-    before, of the blocks before in the shard, and of the documents before in the block.
-    """
-    blocks = read_blocks(spark, out)
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [struct.unpack(_HEAD, x) for x in b.column("head").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (4, 5, 8)], ["shard", "number", "n_ids"])
+def _part(key, parts: int):
+    """The index file of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
-    sizes = blocks.select(F.substring("block", 1, struct.calcsize(_HEAD)).alias("head")).mapInArrow(heads, "shard bigint, number bigint, n_ids bigint")
-    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    within = sizes.withColumn("within", F.sum("n_ids").over(Window.partitionBy("shard").orderBy("number")) - F.col("n_ids"))
-    bases = within.join(before, "shard").select("shard", "number", (F.col("within") + F.col("before")).alias("base"))
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column("block").to_pylist():
-                x = Block(data)
-                n = len(x.keys)
-                at = np.where(x.null == 1, np.arange(n), x.positions_of(x.keys))
-                if (at < 0).any():
-                    raise ValueError("a key of a token block isn't found by its index")
-                _, nth = np.unique(at, return_inverse=True)  # repeated keys follow the one that the index names
-                at = np.maximum(at, np.arange(n)) if len(np.unique(nth)) < n else at
-                crc = [zlib.crc32(x.ids[int(x.offsets[i]) : int(x.offsets[i + 1])].astype("<u4").tobytes()) for i in at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, x.shard), pa.int64()),
-                        pa.array(np.full(n, x.number), pa.int64()),
-                        pa.array(x.keys, mask=x.null.astype(bool)),
-                        pa.array(x.offsets[at].astype(np.int64)),
-                        pa.array((x.offsets[at + 1] - x.offsets[at]).astype(np.int64)),
-                        pa.array(crc, pa.int64()),
-                    ],
-                    ["shard", "number", "doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    rows = blocks.mapInArrow(documents, "shard bigint, number bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    return rows.join(bases, ["shard", "number"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+def _files(spark: SparkSession, path: str, numbers: DataFrame | None = None) -> DataFrame:
+    """number (of the task that wrote it, which is its shard or part) and content of files; of those that `numbers` names only, if these are few."""
+    reader = spark.read.format("binaryFile")
+    if numbers is not None:
+        few = [r[0] for r in numbers.distinct().limit(MOST_FILES + 1).collect()]
+        if len(few) <= MOST_FILES:
+            reader = reader.option("pathGlobFilter", "{" + ",".join(f"part-{i:05d}-*" for i in few or [99999]) + "}")
+    return reader.load(path).select(F.regexp_extract("path", r"part-([0-9]+)-[^/]*$", 1).cast("int").alias("number"), "content")
 
 
-def lookup(spark: SparkSession, out: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The packed 32-bit ids of the given keys that the files hold, once a key, by index.
+def read_shards(spark: SparkSession, out: str, crc: bool = True) -> DataFrame:
+    """key, shard, offset (of the ids in the file, in bytes), start (ids before it in the shard), n (ids), crc and named (whether it is the first
+    of its key in its block) of every document in the files."""
 
-    Blocks name the range of their keys; keys meet the blocks whose range holds them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, data in zip(b.column("number").to_pylist(), b.column("content").to_pylist(), strict=True):
+                before = 0
+                for at, block in _frames(data):
+                    x = Block(block)
+                    if x.shard != number:
+                        raise ValueError(f"shard {x.shard} stands in file {number}")
+                    begin, count = x.offsets[:-1].astype(np.int64), np.diff(x.offsets).astype(np.int64)
+                    named = np.append(True, x.keys[1:] != x.keys[:-1])[: len(begin)] | np.append(False, x.null[:-1] == 1)[: len(begin)]
+                    whole = memoryview(x.ids.astype("<u4").tobytes()) if crc else b""
+                    sums = [zlib.crc32(whole[4 * i : 4 * j]) for i, j in zip(begin.tolist(), x.offsets[1:].tolist(), strict=True)] if crc else np.zeros(len(begin), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(x.keys, mask=x.null == 1), pa.array(np.full(len(begin), number, np.int32)), pa.array(at + x.first + x.width * begin),
+                            pa.array(before + begin), pa.array(count), pa.array(sums, pa.int64()), pa.array(named & (x.null == 0)),
+                        ],
+                        ["key", "shard", "offset", "start", "n", "crc", "named"],
+                    )
+                    before += len(x.ids)
+
+    return _files(spark, f"{out}/shards").mapInArrow(run, "key bigint, shard int, offset bigint, start bigint, n bigint, crc bigint, named boolean")
+
+
+def locate(spark: SparkSession, out: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, shard, offset and n of the given keys that the index holds, once a key.
+
+    Keys meet the index file that their hash names: both are dealt by its number, and each task streams its keys past it.
     """
-    blocks = read_blocks(spark, out)
+    parts = int(spark.read.text(f"{out}/parts").first()[0])
+    wanted = keys.select(_checked(keys, key).alias("key")).dropna().distinct().withColumn("number", _part(F.col("key"), parts))
+    files = _files(spark, f"{out}/index", wanted.select("number") if parts > 1 else None)
+    both = files.select("number", F.lit(None).cast("bigint").alias("key"), "content").unionByName(wanted.select("number", "key", F.lit(None).cast("binary").alias("content")))
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index = None, None
         for b in batches:
-            for data in b.column("block").to_pylist():
-                x = Block(data)
-                known = x.keys[x.null == 0]
-                if len(known):
-                    yield pa.RecordBatch.from_arrays([pa.array([int(known[0])]), pa.array([int(known[-1])]), pa.array([data], pa.binary())], ["low", "high", "block"])
+            numbers = b.column("number").to_numpy(zero_copy_only=False)
+            key_, blob = b.column("key"), b.column("content")
+            cut = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for i, j in zip(cut, cut[1:], strict=False):
+                if i == j:
+                    continue
+                if now != numbers[i]:
+                    now, index = numbers[i], None
+                if blob[i].is_valid:  # first of its number
+                    index = next((IndexPart(x) for _, x in _frames(blob[i].as_py())), None)
+                    i += 1
+                if index is not None and i < j:
+                    some = key_.slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64)
+                    known, shard, offset, count = index.places(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[known]), pa.array(shard.astype(np.int32)), pa.array(offset.astype(np.int64)), pa.array(count.astype(np.int64))], ["key", "shard", "offset", "n"])
+
+    dealt = both.repartitionById(min(parts, partitions(spark)), F.col("number") % min(parts, partitions(spark))).sortWithinPartitions("number", F.col("key").asc_nulls_first())
+    return dealt.mapInArrow(run, "key bigint, shard int, offset bigint, n bigint")
 
-    found = keys.select(F.col(key).cast("bigint").alias("k")).dropna().distinct()
-    met = found.join(blocks.mapInArrow(ranges, "low bigint, high bigint, block binary"), F.col("k").between(F.col("low"), F.col("high")))
 
-    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def lookup(spark: SparkSession, out: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The packed 32-bit ids of the given keys that the files hold, once a key, by index: only index and shard files that the keys
+    need are read, if these are few."""
+    found = stored(locate(spark, out, keys, key), "located")
+    files = _files(spark, f"{out}/shards", found.select("shard"))
+    none = lambda kind: F.lit(None).cast(kind)
+    both = files.select("number", none("bigint").alias("key"), none("bigint").alias("offset"), none("bigint").alias("n"), "content").unionByName(
+        found.select(F.col("shard").alias("number"), "key", "offset", "n", none("binary").alias("content"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, starts, blocks = b"", [], []
         for b in batches:
-            got = [(k, Block(d).get(k)) for k, d in zip(b.column("k").to_pylist(), b.column("block").to_pylist(), strict=True)]
-            got = [(k, x.astype("<u4").tobytes()) for k, x in got if x is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], [key, "ids"])
+            rows = []
+            for k, offset, n, blob in zip(*(b.column(c).to_pylist() for c in ("key", "offset", "n", "content")), strict=True):
+                if blob is not None:
+                    data, framed = blob, list(_frames(blob))
+                    starts, blocks = [at for at, _ in framed], [Block(x) for _, x in framed]
+                    continue
+                i = int(np.searchsorted(starts, offset, side="right")) - 1
+                x = blocks[i]
+                at = (offset - starts[i] - x.first) // x.width
+                doc = int(np.searchsorted(x.offsets, at))
+                if not x.null[doc] and x.keys[doc] == k:  # a foreign key may have the fingerprint of a known one
+                    rows.append((k, np.frombuffer(data, f"<u{x.width}", n, offset).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], [key, "ids"])
+
+    wide = partitions(spark)
+    return both.repartitionById(wide, F.col("number") % wide).sortWithinPartitions("number", F.col("key").asc_nulls_first()).mapInArrow(run, f"`{key}` bigint, ids binary")
 
-    return met.select("k", "block").mapInArrow(get, f"`{key}` bigint, ids binary").dropDuplicates([key])
+
+def read_documents(spark: SparkSession, out: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the files.
+
+    The index decides: a document that is the first of its key comes by the place that the index has for its key. Documents
+    without a key, and further ones of a key, come by their own place.
+    """
+    rows = stored(read_shards(spark, out), "documents")
+    sizes = rows.groupBy("shard").agg(F.sum("n").alias("ids"))
+    before = sizes.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))  # a row for each shard
+    named = rows.where("named")
+    found = named.join(locate(spark, out, named.select("key"), "key").select(F.col("key").alias("by"), "shard", "offset"), ["shard", "offset"], "left")
+    first = found.where("by IS NOT NULL").select("shard", F.col("by").alias("key"), "start", "n", "crc")
+    known = found.where("by IS NULL").select("shard", "key", "start", "n", "crc").join(first.select("key"), "key", "left_semi")
+    rest = rows.where("NOT named").select("shard", "key", "start", "n", "crc").unionByName(known.select("shard", "key", "start", "n", "crc"))
+    return first.unionByName(rest).join(before, "shard").select(F.col("key").alias("doc_id"), (F.col("before") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
