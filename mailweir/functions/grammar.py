@@ -1,42 +1,30 @@
 """Paths, parameters and greetings of the protocol (RFC 5321), as native regular expressions.
 
-Each production of the RFC is one expression, so that a path is parsed without leaving the JVM. Only IPv6 literals, which need a
-canonical text, go through a vectorised function, and only in `ip_text`.
+Each production of the RFC is one expression, so that a path is parsed without leaving the JVM. Address literals are valid if
+`canonical_ip` takes them; their host is the canonical text.
 """
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from mailweir.functions.ip import IPV4, canonical_ip
 
 _SUB = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 DOMAIN = rf"{_SUB}(?:\.{_SUB})*"
 _ATEXT = r"[A-Za-z0-9!#$%&'*+\-/=?^_`{|}~]+"
-_QUOTED = r'"(?:[ !#-\[\]-~]|\\[ -~])*"'
-LOCAL = rf"{_ATEXT}(?:\.{_ATEXT})*|{_QUOTED}"
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+QUOTED = r'"(?:[ !#-\[\]-~]|\\[ -~])*"'
+LOCAL = rf"{_ATEXT}(?:\.{_ATEXT})*|{QUOTED}"
 _LITERAL = rf"\[(?:{IPV4}|[Ii][Pp][Vv]6:[0-9A-Fa-f:.]+)\]"
 _ROUTE = rf"@{DOMAIN}(?:,@{DOMAIN})*"
 PATH = rf"^ ?<(?:({_ROUTE}):)?({LOCAL})(@({DOMAIN}|{_LITERAL}))?>(.*)$"
 PARAM = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:=[!-<>-~]+)?"
 
 
-@F.pandas_udf(T.StringType())
-def ip_text(ip: pd.Series) -> pd.Series:
-    """The canonical text of an address, null for anything else."""
-
-    def one(x: str | None) -> str | None:
-        try:
-            return ipaddress.ip_address(x).compressed if x else None
-        except ValueError:
-            return None
-
-    return ip.map(one)
+def literal_ip(literal: Column) -> Column:
+    """The canonical text of an address literal with its brackets, null if it is none."""
+    return canonical_ip(F.regexp_extract(literal, r"\A\[(?:[Ii][Pp][Vv]6:)?(.*)\]\z", 1))
 
 
 def params(rest: Column) -> Column:
@@ -62,15 +50,29 @@ def parse_path(line: Column, forward: bool) -> Column:
     rest = F.when(null_path, F.regexp_replace(line, "^ ?<>", "")).otherwise(part(5))
     found = params(rest)
     literal = host.startswith("[")
-    ip = F.when(literal, F.regexp_replace(host, r"^\[(?:[Ii][Pp][Vv]6:)?|\]$", ""))
-    ok = F.coalesce((null_path | (line.rlike(PATH) & ((part(3) != "") | postmaster))) & found.isNotNull(), F.lit(False))
+    ip = F.when(literal, literal_ip(host))
+    ok = F.coalesce((null_path | (line.rlike(PATH) & ((part(3) != "") | postmaster) & (~literal | ip.isNotNull()))) & found.isNotNull(), F.lit(False))
     return F.struct(
         ok.alias("ok"), F.when(ok, null_path).alias("null_path"), F.when(ok, F.filter(F.split(part(1), ","), lambda x: x != "")).alias("route"),
-        F.when(ok, F.when(postmaster, "postmaster").otherwise(local)).alias("user"), F.when(ok, F.when(literal, "").otherwise(host)).alias("host"), F.when(ok, ip).alias("ip"),
+        F.when(ok, F.when(postmaster, "postmaster").otherwise(local)).alias("user"), F.when(ok, F.coalesce(ip, host)).alias("host"), F.when(ok, ip).alias("ip"),
         F.when(ok, ~local.rlike(r"^[A-Za-z0-9!#$%&'*+\-/=?^_`{|}~]*$") & part(2).startswith('"')).alias("quoted"), F.when(ok, found).alias("params"),
     )
 
 
+#: Limits in bytes, and the replies beyond them, in the order in which they are tested.
+PATH_BYTES, LOCAL_BYTES, DOMAIN_BYTES = 256, 128, 255
+
+
+def address_fault(line: Column, path: Column) -> Column:
+    """The name of the reply (see `replies.CANNED`) that refuses what follows MAIL FROM: or RCPT TO:, null if nothing does."""
+    return (
+        F.when(F.octet_length(line) > PATH_BYTES, "path_too_long").when(~path["ok"], "invalid_address")
+        .when(path["null_path"], F.lit(None).cast("string")).when(F.octet_length(path["user"]) > LOCAL_BYTES, "local_part_too_long")
+        .when(F.octet_length(path["host"]) > DOMAIN_BYTES, "domain_too_long")
+    )
+
+
 def greeting_host(line: Column, literal: bool) -> Column:
-    """The host that HELO or (with a literal allowed) EHLO names, null for a syntax error."""
-    return F.nullif(F.regexp_extract(line, rf"^ ?({DOMAIN}{'|' + _LITERAL if literal else ''})$", 1), F.lit(""))
+    """The host that HELO or (with a literal allowed) EHLO names after one space, null for a syntax error; a literal's is its address."""
+    name = F.nullif(F.regexp_extract(line, rf"\A ({DOMAIN})(?:[:,>].*)?\z", 1), F.lit(""))
+    return F.coalesce(name, literal_ip(F.regexp_extract(line, rf"\A ({_LITERAL})", 1))) if literal else name

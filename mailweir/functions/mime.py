@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes in which the end of a header must be found.
-HEADER_BYTES = 30 * 1024
+HEADER_BYTES = 4097
 
 _WORD = re.compile(r"=\?([A-Za-z0-9-]+)\?([QqBb])\?([^?]*)\?=")
 

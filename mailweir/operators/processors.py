@@ -24,6 +24,12 @@ def compressed(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else zlib.compress(x.encode(), 1))
 
 
+@F.pandas_udf(T.BinaryType())
+def expanded(data: pd.Series) -> pd.Series:
+    """What `compressed` was made of."""
+    return data.map(lambda x: None if x is None else zlib.decompress(x))
+
+
 def headers_parser(df: DataFrame) -> DataFrame:
     return df.withColumns({"header": mime.parse_headers(F.col("data")), "subject": mime.subject(F.col("data"))})
 
@@ -34,10 +40,12 @@ def hasher(df: DataFrame) -> DataFrame:
 
 
 def header(df: DataFrame, primary_host: str = "mail.example.com") -> DataFrame:
-    mail_hash = F.coalesce(F.col("hashes")[0], F.lit("")) if "hashes" in df.columns else F.lit("")
-    user = F.substring_index(F.coalesce(F.col("rcpt_to")[0], F.lit("")), "@", 1)
+    """The delivery header: the message is for the first recipient's user at `primary_host`, and came in by the first recipient's host."""
+    first = F.coalesce(F.col("rcpt_to")[0], F.lit(""))
+    mail_hash = F.coalesce(F.col("hashes")[0], F.lit("unknown")) if "hashes" in df.columns else F.lit("unknown")
+    user, host = F.regexp_extract(first, "(?s)^(.*)@[^@]*$", 1), F.substring_index(first, "@", -1)
     label = fn.protocol_label(F.col("esmtp"), F.col("tls"))
-    return df.withColumn("delivery_header", fn.delivery_header(user, F.lit(primary_host), F.col("remote_ip"), F.col("helo"), label, mail_hash, F.col("stamp")))
+    return df.withColumn("delivery_header", fn.delivery_header(user, F.lit(primary_host), F.col("remote_ip"), host, label, mail_hash, F.col("stamp")))
 
 
 def compressor(df: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Basic code of an enhanced status (IANA registry of SMTP enhanced status codes).
+#: Fixed values that replies must match: basic code of an enhanced status.
 BASIC_CODES = {
     "2.1.0": 250, "2.1.5": 250, "2.3.0": 250, "2.5.0": 250, "2.6.4": 250, "2.6.8": 252, "2.7.0": 220,
     "4.1.1": 451, "4.1.8": 451, "4.2.4": 450, "4.3.0": 421, "4.3.1": 452, "4.3.2": 453, "4.4.1": 451, "4.4.2": 421,
@@ -43,6 +43,61 @@ def with_reply(df: DataFrame, status: str = "status", comment: str | None = None
     return joined.withColumn("reply", F.concat_ws(" ", F.col("basic_code").cast("string"), F.col(status), text)).drop("_status", "_code", "_text")
 
 
+#: Fixed values that replies must match: status, basic code (none: from the status) and comment (none: the default) of each canned reply.
+CANNED = {
+    "line_too_long": ("5.5.1", 554, "Line too long."),
+    "nested_mail": ("5.5.1", 503, "Error: nested MAIL command"),
+    "no_sender": ("5.5.1", 503, "Error: No sender"),
+    "no_recipients": ("5.5.1", 503, "Error: No recipients"),
+    "unrecognized": ("5.5.1", 554, "Unrecognized command"),
+    "max_unrecognized": ("5.5.1", 554, "Too many unrecognized commands"),
+    "syntax_error": ("5.5.2", 550, "Syntax error"),
+    "read_limit": ("5.2.3", 550, "Error:"),
+    "message_size": ("5.4.0", 552, "Error:"),
+    "read_error": ("4.3.0", 451, "Error:"),
+    "path_too_long": ("5.5.4", 550, "Path too long"),
+    "invalid_address": ("5.5.4", 501, "Invalid address"),
+    "local_part_too_long": ("5.5.4", 550, "Local part too long, cannot exceed 64 characters"),
+    "domain_too_long": ("5.5.4", 550, "Domain cannot exceed 255 characters"),
+    "backend_not_running": ("5.5.0", 554, "Transaction failed - backend not running"),
+    "backend_transaction": ("5.5.0", 554, "Error:"),
+    "backend_timeout": ("5.5.0", 554, "Error: transaction timeout"),
+    "rcpt_failed": ("5.1.1", 550, "User unknown in local recipient table"),
+    "too_many_recipients": ("4.5.3", 452, "Too many recipients"),
+    "relay_denied": ("4.1.1", 454, "Error: Relay access denied:"),
+    "shutdown": ("4.3.0", 421, "Server is shutting down. Please try again later. Sayonara!"),
+    "mail_ok": ("2.1.0", None, ""),
+    "rcpt_ok": ("2.1.5", None, ""),
+    "reset_ok": ("2.1.0", None, ""),
+    "verify_ok": ("2.5.0", 252, "Cannot verify user"),
+    "noop_ok": ("2.0.0", None, ""),
+    "quit_ok": ("2.0.0", 221, "Bye"),
+    "data_ok": ("", 354, "354 Enter message, ending with '.' on a line by itself"),
+    "starttls_ok": ("2.0.0", 220, "Ready to start TLS"),
+    "queued": ("2.0.0", 250, "OK: queued as"),
+}
+
+
+def reply_text(status: str, code: int | None = None, comment: str = "") -> str:
+    """One reply as text; without a status it is the comment alone, and a default comment comes only where no code is given."""
+    if not status:
+        return comment
+    kind = int(status[0])
+    if not comment and code is None:
+        comment = DEFAULT_TEXTS.get(status, CLASS_TEXTS.get(kind, ""))
+    return f"{code or BASIC_CODES.get(status, 100 * kind)} {status} {comment}"
+
+
+def canned(name: str, *more: str) -> str:
+    """A canned reply, with what follows it."""
+    return " ".join([reply_text(*CANNED[name]), *more])
+
+
+def result_text(*parts: Column | str | None) -> Column:
+    """A result's text: its parts, in a row; null ones are nothing."""
+    return F.concat(*(F.coalesce(p if isinstance(p, Column) else F.lit(p), F.lit("")) for p in parts))
+
+
 def sql_dimension() -> str:
     """The dimension as a SQL VALUES list, for oracles."""
     quote = lambda x: "NULL" if x is None else f"'{x}'"
