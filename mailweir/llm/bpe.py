@@ -16,8 +16,6 @@ length are encoded whole, and an empty table gives no rows. A column named like
 
 from __future__ import annotations
 
-import gc
-import hashlib
 import json
 import re
 from collections.abc import Callable
@@ -29,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweir.llm.common import MAX_BROADCAST_BYTES, add_columns, read_table
+from mailweir.llm.common import MAX_BROADCAST_BYTES, add_columns, read_table, worker_model
 
 #: The published split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that are encoded at a time, if no text has more.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Bytes of pieces and ids that a worker remembers.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 16 << 20
 #: Words that are merged side by side.
 BESIDE_WORDS = 20_000
 #: Longest word, in symbols, that is merged beside others; longer ones go one by one.
@@ -394,25 +392,6 @@ class Bpe:
         return pa.array([b"".join([known[i] for i in ids[a:b].tolist() if i < n]).decode("utf-8", "replace") for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)], pa.string())
 
 
-_models: dict[tuple[str, str], object] = {}
-
-
-def worker_model(kind: str, content: bytes, build: Callable[[bytes], object]):
-    """The model of a vocabulary in a Python worker, kept between tasks; a worker holds one model at a time."""
-    key = (kind, hashlib.sha256(content).hexdigest())
-    if key not in _models:
-        release_models()
-        _models[key] = build(content)
-    return _models[key]
-
-
-def release_models() -> None:
-    """Free what earlier tasks left in this worker."""
-    if _models:
-        _models.clear()
-        gc.collect()
-
-
 def load(spark: SparkSession, path: str):
     """A vocabulary file as a broadcast of checked size; the driver reads it, so executors need no file."""
     content = Path(path).read_bytes()
@@ -434,7 +413,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", count
 
         return work
 
-    return add_columns(df, text, [(count, "bigint"), (ids, "binary")], make, ENCODE_BYTES)
+    return add_columns(df, text, [(count, "bigint"), (ids, "binary")], make, ENCODE_BYTES, models=True)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -450,7 +429,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
         return work
 
-    return add_columns(df, ids, [(text, "string")], make, ENCODE_BYTES)
+    return add_columns(df, ids, [(text, "string")], make, ENCODE_BYTES, models=True)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -466,7 +445,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         return work
 
-    return add_columns(df, text, [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "string")], make, ENCODE_BYTES)
+    return add_columns(df, text, [("n_tokens", "bigint"), ("ids", "binary"), ("decoded", "string")], make, ENCODE_BYTES, models=True)
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,6 +84,44 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_models: dict[tuple[str, str], object] = {}
+
+
+def worker_model(kind: str, content: bytes, build: Callable[[bytes], object]):
+    """The model of a vocabulary in a Python worker, kept between tasks that ask for it; a worker holds one model at a time."""
+    key = (kind, hashlib.sha256(content).hexdigest())
+    if key not in _models:
+        _models.clear()
+        _models[key] = build(content)
+    return _models[key]
+
+
+def _give_back() -> None:
+    """Return freed memory to the machine: now, and from now on large blocks as soon as they are freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], models: bool = False):
+    """A function for mapInArrow whose worker, which Spark uses again, keeps no memory of the task (but with `models` those of `worker_model`)."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not models:
+            _models.clear()
+        _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def texts_of(array: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string or binary array."""
     return array.cast(pa.binary()).to_pylist()
@@ -101,11 +141,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
 
 
 def add_columns(
-    df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], most: int = 8 << 20
+    df: DataFrame, text: str, fields: list[tuple[str, str]], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], most: int = 8 << 20, models: bool = False
 ) -> DataFrame:
     """All columns of df and new ones, from a function of Arrow batches; map-only.
 
-    `make` runs once in each task and gives the function, which gets about `most` bytes of text at a time. A column of df
+    `make` runs once in each task and gives the function, which gets about `most` bytes of text at a time; `models` as in `lean`. A column of df
     whose name (in any case) is that of a new one is replaced.
     """
     taken = {name.lower() for name, _ in fields}
@@ -120,4 +160,4 @@ def add_columns(
                 made = work(part)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, *(n for n, _ in fields)])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, models), schema)

@@ -1,182 +1,236 @@
-"""Benchmark decontamination with a positional inverted index.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-The index is dealt out by document: every task stores, for its block of training texts, the positions
-of the terms that can anchor a search (a term's postings are one sorted run of positions). A search
-starts with the rarest terms of a window, by their counts in the whole corpus: the posting lists of
-its rarest terms, each moved back by the term's offset in the window, are intersected list by list,
-rarest first, and what survives is compared word for word. Proximity search intersects the
-same lists within a distance instead of at an exact offset, window by window.
+The index is a table in the shared folder, dealt out by blocks of training texts. A block's row has its distinct terms, how
+often each stands in it, and the positions of each term's tokens; also the rows of the texts themselves (or what is kept of them), so
+that a search needs no join. Texts are read once; searching reads the index only, and counting terms only its terms and counts.
 
-Words are `[0-9a-z]` and all non-ASCII bytes, after A-Z is lower-cased. Benchmark items are looked for
-in parts of bounded size, one after the other; a document's hits are merged over the parts.
+Phrases: a window of a benchmark item starts from the posting list of its rarest term in the whole corpus, moved back by the term's offset in
+the window. Next comes, for all windows that agree so far, the offset whose terms are rarest; a start goes on with those windows whose term
+has it in its list at that offset. So windows that share terms are searched together, and a start never meets a list of windows one by
+one. Proximity: from the rarest term of a window, every other term of it must stand within a distance, in the same text.
 
-Defined results: null and empty texts have no words and no hits. Items without words are found
-nowhere; items shorter than a window are one window. Rows of the benchmark that share an item_id are
-one item. Null item_ids are left out. A column named like an output is replaced.
+Words are `[0-9a-z]` and all non-ASCII bytes, after A-Z is lower-cased; terms are compared byte for byte. Items come in parts of bounded size,
+each a broadcast; a part's windows are laid out in arrays on the driver. No key is hot: a term's list is cut by blocks.
+
+Defined results: null and empty texts have no words and no hits. Items without words are found nowhere; items shorter than a window are
+one window. Rows of the benchmark that share an item_id are one item. Null item_ids and texts are left out. Item ids may be of any
+simple type. A text of any length is a block of its own or part of one. An empty table of documents or items gives no hits. Repeated documents each get
+their hits. `find_hits` replaces columns named like an output (in any case); `keep_clean` adds none, so it gives back all columns.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from mailweir.llm.common import add_columns, read_table, texts_of
+from mailweir.llm.bpe import gathered
+from mailweir.llm.common import lean, read_table, slices, stored
 
-WINDOW, LISTS = 10, 3
+WINDOW, WITHIN = 10, 20
 #: Bytes of benchmark text that are searched for at a time.
-PART_BYTES = 16 << 20
-#: Words of training text that a task indexes at a time, if no text has more.
-BLOCK_WORDS = 1 << 20
+PART_BYTES = 4 << 20
+#: Bytes of text in a block of the index, if no text has more, and starts of phrases that are followed at a time.
+BLOCK_BYTES, STARTS = 4 << 20, 1 << 19
 
-_KEEP = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_WORD = np.array([b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.translate(_KEEP).split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, and the number of each text's first one (one more at the end)."""
+    array = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = array.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    bounds = bounds - bounds[0]
+    word = _WORD[raw]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    first[starts] = word[starts]  # texts are apart
+    begin = np.flatnonzero(first)
+    kept = np.concatenate([[0], np.cumsum(word)])
+    ends = np.append(kept[begin], kept[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(_LOWER[raw[word]].tobytes())]), np.searchsorted(begin, bounds)
 
 
-class Terms:
-    """The windows of some items: terms, windows as term numbers, and the rarest terms of each."""
+_INDEX = "block bigint, terms binary, counts binary, positions binary, firsts binary, rows binary"
 
-    def __init__(self, items: list[tuple[int, bytes]], size: int) -> None:
-        self.size, self.number = size, {}
-        found: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number)) for w in words(text)]
-            for i in range(max(len(ids) - size + 1, min(len(ids), 1))):
-                found[tuple(ids[i : i + size])].add(item)
-        self.windows, self.items = list(found), [sorted(v) for v in found.values()]
 
-    def order(self, counts: np.ndarray) -> None:
-        """Lay out the windows by their rarest term, with the offsets of their LISTS rarest terms."""
-        self.by_anchor: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
-        for k, w in enumerate(self.windows):
-            rare = sorted(range(len(w)), key=lambda i: (counts[w[i]], w[i], i))[:LISTS]
-            self.by_anchor[w[rare[0]]].append((k, rare))
-        self.indexed = np.zeros(len(self.number) + 1, bool)
-        for group in self.by_anchor.values():
-            for k, rare in group:
-                self.indexed[[self.windows[k][i] for i in rare]] = True
-        self.groups = {}
-        for anchor, group in self.by_anchor.items():
-            by_size: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
-            for g in group:
-                by_size[len(self.windows[g[0]])].append(g)
-            self.groups[anchor] = [
-                (n, np.array([k for k, _ in gs]), np.array([r + [r[-1]] * (LISTS - len(r)) for _, r in gs]), np.array([self.windows[k] for k, _ in gs]))
-                for n, gs in by_size.items()
-            ]
-        del self.by_anchor
-
-
-class BlockIndex:
-    """Positions of indexed terms in a block of texts; texts are apart, so that nothing spans two."""
-
-    def __init__(self, texts: list[bytes | None], terms: Terms) -> None:
-        get, gap = terms.number.get, terms.size
-        numbers: list[int] = []
-        self.begin, self.count = [], []
-        for text in texts:
-            found = words(text) if text else []
-            self.begin.append(len(numbers))
-            self.count.append(len(found))
-            numbers += [get(w, -1) for w in found]
-            numbers += [-1] * gap
-        self.term = np.array(numbers, np.int32)
-        at = np.flatnonzero(terms.indexed[self.term])
-        order = np.argsort(self.term[at], kind="stable")
-        self.positions, sorted_terms = at[order], self.term[at][order]
-        self.keys, first = np.unique(sorted_terms, return_index=True)
-        self.first = np.append(first, len(sorted_terms))
-
-    def postings(self, term: int) -> np.ndarray:
-        i = int(np.searchsorted(self.keys, term))
-        return self.positions[self.first[i] : self.first[i + 1]] if i < len(self.keys) and self.keys[i] == term else self.positions[:0]
-
-    def phrases(self, terms: Terms) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """Starts, window numbers and window length of every exact occurrence."""
-        for anchor in self.keys.tolist():
-            for n, numbers, rare, ids in terms.groups.get(anchor, ()):
-                start = self.postings(anchor)[:, None] - rare[None, :, 0]  # offset-adjusted list of the rarest term
-                good = (start >= 0) & (start + n <= len(self.term))
-                at, which = np.nonzero(good)
-                start = start[at, which]
-                for step in range(1, min(LISTS, n)):  # intersect with the lists of the next rarest terms
-                    kept = np.zeros(len(start), bool)
-                    wanted = ids[which, rare[which, step]]
-                    for term in np.unique(wanted).tolist():
-                        mine = np.flatnonzero(wanted == term)
-                        kept[mine] = _within(self.postings(term), start[mine] + rare[which[mine], step])
-                    start, which = start[kept], which[kept]
-                    if not len(start):
-                        break
-                if len(start):
-                    same = (self.term[start[:, None] + np.arange(n)] == ids[which]).all(axis=1)
-                    if same.any():
-                        yield start[same], numbers[which[same]], n
-
-    def near(self, wanted: list[int], within: int) -> np.ndarray:
-        """Positions of the first (rarest) term that have all other terms at most `within` words away."""
-        at = self.postings(wanted[0])
-        for term in wanted[1:]:
-            other = self.postings(term)
-            i = np.searchsorted(other, at - within)
-            at = at[(i < len(other)) & (other[np.minimum(i, len(other) - 1)] <= at + within)] if len(other) else at[:0]
-        return at
-
-    def texts_of(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array(self.begin), at, side="right") - 1
-
-
-def _within(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Which wanted values a sorted list holds."""
-    if not len(sorted_values):
-        return np.zeros(len(wanted), bool)
-    i = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
-    return sorted_values[i] == wanted
-
-
-def _blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or b"") // 4 + 1
-        if total >= BLOCK_WORDS:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def term_counts(docs: DataFrame, terms: Terms, text: str) -> np.ndarray:
-    """How often each benchmark term stands in the whole corpus; a count a term comes back."""
-    number = terms.number
+def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The stored index: for each block of texts its terms (between line ends), counts, positions, first word of each text, and the rows.
 
+    `keep` names the columns of the rows that the index keeps (by default all).
+    """
+    names = docs.columns if keep is None else keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(number) + 1, np.int64)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for t in texts_of(batch.column(text)):
-                if t:
-                    total += np.bincount([number.get(w, -1) + 1 for w in words(t)], minlength=len(total))
-        some = np.flatnonzero(total[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[1:][some], pa.int64())], ["term", "n"])
-
-    counts = np.zeros(len(number), np.int64)
-    for r in docs.select(text).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[r["term"]] = r["n"]
-    return counts
-
+            for b in slices(batch, text, BLOCK_BYTES):
+                words, first = tokens(b.column(text))
+                coded = words.dictionary_encode()
+                at = coded.indices.to_numpy(zero_copy_only=False)
+                counts = np.bincount(at, minlength=len(coded.dictionary)).astype("<u4")
+                sink = pa.BufferOutputStream()
+                kept = b.select(names)
+                with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                    out.write_batch(kept)
+                terms = b"\n".join(coded.dictionary.to_pylist())
+                columns = (terms, counts.tobytes(), np.argsort(at, kind="stable").astype("<u4").tobytes(), first.astype("<u4").tobytes(), sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["block", "terms", "counts", "positions", "firsts", "rows"])
+                number += 1
+
+    return stored(docs.mapInArrow(lean(run), _INDEX), "postings")
+
+
+class Part:
+    """Some benchmark items: their distinct terms, and the windows of a size as rows of term numbers, by length."""
+
+    def __init__(self, items: list[tuple[object, bytes]], size: int) -> None:
+        self.ids = sorted({i for i, _ in items})
+        place = {i: k for k, i in enumerate(self.ids)}
+        words, first = tokens(pa.array([t for _, t in items], pa.binary()))
+        coded = words.dictionary_encode()
+        self.terms, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for (item, _), i, j in zip(items, first.tolist(), first[1:].tolist(), strict=False):
+            n = min(j - i, size)
+            if n:
+                windows = at[i:j][np.arange(j - i - n + 1)[:, None] + np.arange(n)]
+                found.setdefault(n, []).append((windows, place[item]))
+        self.windows: dict[int, np.ndarray] = {}
+        self.items: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each window: item numbers in a row, how many
+        for n, runs in found.items():
+            windows, number = np.unique(np.concatenate([w for w, _ in runs]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([number.ravel(), np.repeat([i for _, i in runs], [len(w) for w, _ in runs])], 1), axis=0)
+            self.windows[n], self.items[n] = windows, (pairs[:, 1], np.bincount(pairs[:, 0], minlength=len(windows)))
 
-def item_parts(benchmark: DataFrame, item: str, text: str, most: int = PART_BYTES) -> Iterator[list[tuple[int, bytes]]]:
-    """Items in parts of bounded size; all rows of an item are in one part, unless it is larger than a part."""
-    part: list[tuple[int, bytes]] = []
+    def order(self, counts: np.ndarray) -> None:
+        """Lay out the search of each length's windows: roots (term, offset), and for every further turn each node's offset and its branches."""
+        self.plans, self.size = {}, len(self.terms)
+        for n, windows in self.windows.items():
+            rows = np.arange(len(windows))
+            left = np.ones((len(windows), n), bool)
+            offset = np.argmin(counts[windows], axis=1)  # the rarest term, the first of these
+            root, node = np.unique(np.stack([windows[rows, offset], offset], 1), axis=0, return_inverse=True)
+            node, turns = node.ravel(), []
+            left[rows, offset] = False
+            for _ in range(n - 1):
+                nodes = int(node.max()) + 1
+                cost = np.zeros((nodes, n))
+                np.add.at(cost, node, np.where(left, counts[windows] + 1.0, np.inf))
+                choice = np.argmin(cost, axis=1)
+                left[rows, choice[node]] = False
+                branches, node = np.unique(node * (self.size + 1) + windows[rows, choice[node]], return_inverse=True)
+                turns.append((choice, branches))
+            window = np.empty(len(windows), np.int64)
+            window[node] = rows
+            self.plans[n] = (root, turns, window)
+        # a window's terms as sets, rarest first, for proximity; equal sets are one
+        sets: dict[tuple[int, ...], set[int]] = {}
+        for n, windows in self.windows.items():
+            ids, many = self.items[n]
+            ends = np.cumsum(many).tolist()
+            for row, i, j in zip(windows.tolist(), [0, *ends], ends, strict=False):
+                sets.setdefault(tuple(sorted(set(row), key=lambda t: (counts[t], t))), set()).update(ids[i:j].tolist())
+        self.near_sets = list(sets)
+        self.near_items = [sorted(x) for x in sets.values()]
+
+
+class Block:
+    """The posting lists of a part's terms in one block of the index."""
+
+    def __init__(self, terms: bytes, counts: bytes, positions: bytes, firsts: bytes, part: Part) -> None:
+        self.first = np.frombuffer(firsts, "<u4").astype(np.int64)
+        mine = pc.index_in(pa.array(terms.split(b"\n") if len(counts) else [], pa.binary()), value_set=part.terms)
+        known = np.flatnonzero(mine.is_valid().to_numpy(zero_copy_only=False))
+        of = mine.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(of)
+        at, ends = gathered(np.frombuffer(positions, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64), known[order])
+        self.lists, each = at.astype(np.int64), np.diff(ends)
+        self.count = np.zeros(part.size, np.int64)
+        self.count[of[order]] = each
+        self.begin = np.cumsum(self.count) - self.count
+        self.codes = np.repeat(np.arange(part.size), self.count) << 32 | self.lists  # (term, position), in order
+        self.term = np.full(int(self.first[-1]) if len(self.first) else 0, part.size, np.int32)  # the lists, addressed by position
+        self.term[self.lists] = np.repeat(np.arange(part.size), self.count)
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, side="right") - 1
+
+    def phrases(self, part: Part) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, starts and window numbers of every occurrence."""
+        for n, (root, turns, window) in part.plans.items():
+            many = self.count[root[:, 0]]
+            some = np.flatnonzero(many)
+            cut = np.flatnonzero(np.diff(np.cumsum(many[some]) // STARTS, prepend=0)).tolist()
+            for i, j in zip([0, *cut], [*cut, len(some)], strict=True):
+                roots = some[i:j]
+                if not len(roots):
+                    continue
+                size = many[roots]
+                at = self.lists[np.arange(size.sum()) + np.repeat(self.begin[root[roots, 0]] - (np.cumsum(size) - size), size)]
+                for k in range(0, len(at), STARTS):  # one list may be long
+                    node = np.repeat(roots, size)[k : k + STARTS]
+                    start = at[k : k + STARTS] - root[node, 1]
+                    good = start >= 0
+                    good[good] = start[good] + n <= self.first[self.text_of(at[k : k + STARTS][good]) + 1]
+                    good[good] = start[good] >= self.first[self.text_of(at[k : k + STARTS][good])]
+                    start, node = start[good], node[good]
+                    for choice, branches in turns:
+                        if not len(start):
+                            break
+                        code = node * (part.size + 1) + self.term[start + choice[node]]
+                        to = np.minimum(np.searchsorted(branches, code), len(branches) - 1)
+                        on = branches[to] == code
+                        start, node = start[on], to[on]
+                    if len(start):
+                        yield n, start, window[node]
+
+    def near(self, part: Part, within: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of term sets and the positions of their rarest term which have every other term of the set near, in the same text."""
+        if not part.near_sets:
+            return
+        sizes = np.array([len(s) for s in part.near_sets])
+        wide = np.full((len(sizes), int(sizes.max())), -1, np.int64)
+        for k, s in enumerate(part.near_sets):
+            wide[k, : len(s)] = s
+        some = np.flatnonzero(((self.count[wide] > 0) | (wide < 0)).all(axis=1))  # all terms stand in the block
+        many = self.count[wide[some, 0]]
+        cut = np.flatnonzero(np.diff(np.cumsum(many) // STARTS, prepend=0)).tolist()
+        for i, j in zip([0, *cut], [*cut, len(some)], strict=True):
+            sets, size = some[i:j], many[i:j]
+            if not len(sets):
+                continue
+            all_at = self.lists[np.arange(size.sum()) + np.repeat(self.begin[wide[sets, 0]] - (np.cumsum(size) - size), size)]
+            all_sets = np.repeat(sets, size)
+            for k in range(0, len(all_at), STARTS):
+                at, of = all_at[k : k + STARTS], all_sets[k : k + STARTS]
+                text = self.text_of(at)
+                low, high = np.maximum(at - within, self.first[text]), np.minimum(at + within, self.first[text + 1] - 1)
+                for turn in range(1, wide.shape[1]):
+                    term = wide[of, turn]
+                    to = np.searchsorted(self.codes, term << 32 | low)
+                    on = (term < 0) | (self.codes[np.minimum(to, len(self.codes) - 1)] <= (term << 32 | high)) & (to < len(self.codes))
+                    at, of, low, high = at[on], of[on], low[on], high[on]
+                if len(at):
+                    yield of, at
+
+
+def item_parts(benchmark: DataFrame, item: str, text: str, most: int = PART_BYTES) -> Iterator[list[tuple[object, bytes]]]:
+    """Items in parts of bounded size, in the order of their ids."""
+    part: list[tuple[object, bytes]] = []
     size = 0
-    rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col(f"`{item}`").alias("i"), F.col(f"`{text}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     for r in rows.orderBy("i", "t").toLocalIterator():
         data = r["t"].encode()
         if part and size + len(data) > most:
@@ -188,120 +242,158 @@ def item_parts(benchmark: DataFrame, item: str, text: str, most: int = PART_BYTE
         yield part
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """Add n_words, hits (merged [begin, end) word ranges) and items (sorted ids) to every row.
+def term_counts(index: DataFrame, terms: pa.Array) -> np.ndarray:
+    """How often each term stands in the whole corpus; reads terms and counts of the index, and a count a term comes back."""
 
-    Map-only but for the counts of the terms. Each part of the benchmark is one map more.
-    """
-    out = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "hits", "items")])
-    first = True
-    for part in item_parts(benchmark, item, item_text):
-        out, first = _with_part(out, Terms(part, size), docs, text, first), False
-    return _with_part(out, Terms([], size), None, text, True) if first else out
-
-
-_FIELDS = [("n_words", "bigint"), ("hits", "array<array<bigint>>"), ("items", "array<bigint>")]
-
-
-def _with_part(df: DataFrame, terms: Terms, docs: DataFrame | None, text: str, first: bool) -> DataFrame:
-    terms.order(term_counts(docs, terms, text) if docs is not None and len(terms.number) else np.zeros(len(terms.number), np.int64))
-    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(terms))  # of at most PART_BYTES of text
-    state = df if first else df.withColumnsRenamed({"n_words": "_n", "hits": "_h", "items": "_i"})
-
-    def make():
-        mine: Terms = pickle.loads(shared.value)
-
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            texts = texts_of(batch.column(text))
-            old = [[]] * len(texts) if first else list(zip(batch.column("_h").to_pylist(), batch.column("_i").to_pylist(), strict=True))
-            counts: list[int] = []
-            ranges: list[list[list[int]]] = []
-            items: list[list[int]] = []
-            for begin, end in _blocks(texts):
-                index = BlockIndex(texts[begin:end], mine)
-                found: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-                for start, window, n in index.phrases(mine):
-                    for s, w, d in zip(start.tolist(), window.tolist(), index.texts_of(start).tolist(), strict=True):
-                        spans, ids = found.setdefault(d, ([], set()))
-                        at = s - index.begin[d]
-                        spans.append((at, at + n))
-                        ids.update(mine.items[w])
-                counts += index.count
-                for d in range(end - begin):
-                    spans, ids = found.get(d, ([], set()))
-                    before = old[begin + d] or ([], [])
-                    ranges.append(_merged([*spans, *map(tuple, before[0])]))
-                    items.append(sorted(ids.union(before[1])))
-            return [pa.array(counts, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.int64()))]
-
-        return work
-
-    return add_columns(state, text, _FIELDS, make).drop("_n", "_h", "_i")
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), np.int64)
+        for b in batches:
+            for blob, counts in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                found = pc.index_in(pa.array(blob.split(b"\n") if counts else [], pa.binary()), value_set=terms)
+                known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                total[found.take(pa.array(known)).to_numpy(zero_copy_only=False)] += np.frombuffer(counts, "<u4")[known]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["term", "n"])
+
+    counts = np.zeros(len(terms), np.int64)
+    for r in index.select("terms", "counts").mapInArrow(lean(run), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        counts[r["term"]] = r["n"]
+    return counts
+
+
+def _found(block: Block, part: Part, within: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of the words in occurrences; (text, item) pairs of these; (text, item) pairs and places of near matches."""
+    edge = np.zeros(len(block.term) + 1, np.int32)
+    pairs, near = [np.empty((0, 2), np.int64)], [np.empty((0, 3), np.int64)]
+    for n, start, window in block.phrases(part):
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + n, -1)
+        ids, many = part.items[n]
+        item, _ = gathered(ids, many, window)
+        pairs.append(np.unique(np.stack([np.repeat(block.text_of(start), many[window]), item], 1), axis=0))
+    if within is not None:
+        many = np.array([len(x) for x in part.near_items], np.int64)
+        flat = np.array([i for x in part.near_items for i in x], np.int64)
+        for of, at in block.near(part, within):
+            item, _ = gathered(flat, many, of)
+            near.append(np.unique(np.stack([np.repeat(block.text_of(at), many[of]), item, np.repeat(at, many[of])], 1), axis=0))
+    places = np.unique(np.concatenate(near), axis=0)
+    return np.cumsum(edge[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0), places[:, :2], places[:, 2]
+
+
+_HITS = [("n_words", "bigint"), ("hits", "array<array<bigint>>"), ("items", "array<{}>"), ("near_items", "array<{}>"), ("near_places", "array<bigint>")]
+
+
+class _Search:
+    """All parts of a benchmark, laid out and broadcast, and the search of one block."""
+
+    def __init__(self, index: DataFrame, benchmark: DataFrame, item: str, item_text: str, size: int, within: int | None) -> None:
+        self.within, self.parts = within, []
+        context = index.sparkSession.sparkContext
+        for items in item_parts(benchmark, item, item_text):
+            part = Part(items, size)
+            if len(part.terms):
+                part.order(term_counts(index, part.terms))
+                self.parts.append(context.broadcast(pickle.dumps(part)))  # of at most PART_BYTES of text
+
+    def opened(self) -> Iterator[Part]:
+        """The parts, one in memory at a time; a single one stays."""
+        if len(self.parts) == 1:
+            if not hasattr(self, "only"):
+                self.only = pickle.loads(self.parts[0].value)
+            yield self.only
         else:
-            out.append([a, b])
-    return out
+            for p in self.parts:
+                yield pickle.loads(p.value)
+
+    def block(self, terms: bytes, counts: bytes, positions: bytes, firsts: bytes) -> list[tuple]:
+        """(words, hits, items, near items, near places) of each text."""
+        first = np.frombuffer(firsts, "<u4").astype(np.int64)
+        n = len(first) - 1
+        marks = np.zeros(int(first[-1]), bool)
+        items: list[set] = [set() for _ in range(n)]
+        near: list[dict] = [{} for _ in range(n)]
+        for part in self.opened():
+            found, pairs, places, _ = _found(Block(terms, counts, positions, firsts, part), part, self.within)
+            marks |= found
+            for text, i in pairs.tolist():
+                items[text].add(part.ids[i])
+            for (text, i), many in zip(*(x.tolist() for x in np.unique(places, axis=0, return_counts=True)), strict=True):
+                near[text][part.ids[i]] = near[text].get(part.ids[i], 0) + many
+        edge = np.flatnonzero(np.diff(marks.astype(np.int8), prepend=0, append=0))
+        begin, end = edge[::2], edge[1::2]
+        cuts = np.setdiff1d(first[:-1][np.diff(first) > 0], begin)  # a run that goes on in the next text is two
+        inside = cuts[marks[cuts]]
+        begin, end = np.sort(np.concatenate([begin, inside])), np.sort(np.concatenate([end, inside]))
+        text = np.searchsorted(first, begin, side="right") - 1
+        spans: list[list[list[int]]] = [[] for _ in range(n)]
+        for t, a, b in zip(text.tolist(), (begin - first[text]).tolist(), (end - first[text]).tolist(), strict=True):
+            spans[t].append([a, b])
+        return [(int(w), spans[t], sorted(items[t]), sorted(near[t]), [near[t][i] for i in sorted(near[t])]) for t, w in enumerate(np.diff(first).tolist())]
+
+
+def _searched(index: DataFrame, search: _Search, rows: T.StructType, names: list[str], made: list[tuple[str, str]], emit) -> DataFrame:
+    """What `emit` makes of the kept rows of a block and of its texts' findings."""
+    schema = T.StructType([*(rows[n] for n in names), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in made)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for terms, counts, positions, firsts, blob in zip(*(b.column(c).to_pylist() for c in ("terms", "counts", "positions", "firsts", "rows")), strict=True):
+                found = search.block(terms, counts, positions, firsts)
+                yield from emit(pa.ipc.open_stream(blob).read_next_batch(), found)
+
+    return index.mapInArrow(lean(run), schema)
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, within: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Every row (its columns, or those that `keep` names) with n_words, hits (merged [begin, end) word ranges) and items (sorted ids).
+
+    With `within` also near_items (sorted ids of items of which a window has all its terms so near to its rarest one) and near_places (how many
+    positions of rarest terms that are). One pass over the texts, one over the index, and one for the counts of each part of the benchmark.
+    """
+    id_type = benchmark.schema[item].dataType.simpleString()
+    made = [(n, t.format(id_type)) for n, t in (_HITS if within is not None else _HITS[:3])]
+    taken = {n for n, _ in made}
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    rows = docs.select(*(F.col(f"`{c}`") for c in names)).schema
+    index = build_index(docs, text, names)
+    search = _Search(index, benchmark, item, item_text, size, within)
+    arrow = to_arrow_schema(T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in made]))
 
-def near_matches(docs: DataFrame, benchmark: DataFrame, within: int = 20, terms_each: int = 3, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id and the number of places where the rarest terms of a window of an item stand within a distance.
+    def emit(batch: pa.RecordBatch, found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        columns = [pa.array([f[k] for f in found], arrow.field(k).type) for k in range(len(made))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *(n for n, _ in made)])
 
-    A window is a run of WINDOW words of the item, or of within + 1 if that is less, so that a copy always is a match. Its
-    rarest terms are those of the terms that the corpus has; a window with fewer than `terms_each` of these matches
-    nowhere, unless it has no more terms itself. A place is the position of a window's rarest term.
+    return _searched(index, search, rows, names, made, emit)
+
+
+def near_matches(docs: DataFrame, benchmark: DataFrame, within: int = WITHIN, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id and places: for each document and item, at how many positions a window's rarest term has all terms of the window within a distance.
+
+    A window is a run of WINDOW words of the item, or of within + 1 if that is less, so that a copy always is a match.
     """
-    out = None
-    for part in item_parts(benchmark, item, item_text):
-        terms = Terms(part, 1)
-        counts = term_counts(docs, terms, text)
-        terms.size = within + 1
-        size = min(WINDOW, within + 1)
-        found_in: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for i, data in part:
-            ids = [terms.number[w] for w in words(data)]
-            for k in range(max(len(ids) - size + 1, min(len(ids), 1))):
-                window = set(ids[k : k + size])
-                rare = sorted((t for t in window if counts[t]), key=lambda t: (counts[t], t))[:terms_each]
-                if len(rare) == min(terms_each, len(window)):
-                    found_in[tuple(rare)].add(i)
-        plan = list(found_in.items())
-        terms.indexed = np.zeros(len(terms.number) + 1, bool)
-        terms.indexed[[t for rare, _ in plan for t in rare]] = True
-
-        def run(batches: Iterator[pa.RecordBatch], terms: Terms = terms, plan: list = plan) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column(text))
-                for begin, end in _blocks(texts):
-                    index = BlockIndex(texts[begin:end], terms)
-                    places = defaultdict(set)
-                    for rare, items in plan:
-                        at = index.near(rare, within).tolist()
-                        if at:
-                            for i in items:
-                                places[i].update(at)
-                    rows = [(ids[begin + d], i, n) for i, at in places.items() for d, n in zip(*(x.tolist() for x in np.unique(index.texts_of(np.array(sorted(at))), return_counts=True)), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "item_id", "places"])
-
-        found = docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, item_id bigint, places bigint")
-        out = found if out is None else out.unionAll(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, places bigint")
+    found = find_hits(docs, benchmark, text, item, item_text, min(WINDOW, within + 1), within, ["doc_id"])
+    return found.select("doc_id", F.explode(F.arrays_zip("near_items", "near_places")).alias("m")).select("doc_id", F.col("m.near_items").alias("item_id"), F.col("m.near_places").alias("places"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: what of every document stands in benchmark items."""
+    """Contract query: what of every document stands in benchmark items; n_near counts the items with a near match."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_hits(docs, read_table(spark, sf_dir, "benchmark")).drop("text")
+    found = find_hits(docs, read_table(spark, sf_dir, "benchmark"), within=WITHIN, keep=["doc_id"])
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x[1] - x[0])
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without any benchmark window, with all their columns, whatever their names."""
+    index = build_index(docs, text)
+    search = _Search(index, benchmark, item, item_text, WINDOW, None)
+
+    def emit(batch: pa.RecordBatch, found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        clean = batch.filter(pa.array([not f[1] for f in found], pa.bool_()))
+        if len(clean):
+            yield clean
 
+    return _searched(index, search, docs.schema, docs.columns, [], emit)
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark window, with their columns."""
-    return find_hits(docs, benchmark).where(F.size("hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

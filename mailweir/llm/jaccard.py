@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailweir.llm.common import LOWER_AZ, discard, read_table, slices, stored, texts_of
+from mailweir.llm.common import LOWER_AZ, discard, lean, read_table, slices, stored, texts_of
 
 WORDS, SHARE = 5, 75
 #: Shingles of one block of sets, and of one hash bucket (both bound a task's memory).
@@ -165,7 +165,7 @@ def set_ids(docs: DataFrame) -> DataFrame:
                 [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) if len(s) else None for s in sets], pa.binary()), *(b.column(f.name) for f in more)], ["doc_id", "n_shingles", "sig", *(f.name for f in more)]
             )
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType()), *more]))
+    return docs.mapInArrow(lean(run), T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("sig", T.BinaryType()), *more]))
 
 
 def _least(n: np.ndarray | int) -> np.ndarray | int:
@@ -284,9 +284,9 @@ def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
                     parts.append((a, b, c))
         yield finish()
 
-    sent = docs.select("text").mapInArrow(send, _SENT)
-    counted = stored(sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "head int, block bigint, a binary, b binary, c binary"), "counted")
-    sets = counted.repartition("block").sortWithinPartitions("block").mapInArrow(gather, "sig binary, n int, keys binary")
+    sent = docs.select("text").mapInArrow(lean(send), _SENT)
+    counted = stored(sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(count), "head int, block bigint, a binary, b binary, c binary"), "counted")
+    sets = counted.repartition("block").sortWithinPartitions("block").mapInArrow(lean(gather), "sig binary, n int, keys binary")
     out = sets.groupBy("sig", "n").agg(F.first("keys").alias("keys"))
     out = stored(out.select(F.monotonically_increasing_id().alias("id"), "sig", "n", "keys"), "shared")
     discard(counted)
@@ -316,7 +316,7 @@ def _postings(sets: DataFrame) -> DataFrame:
             key, band, own_, id_, n_, pos = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (band, own_)), pa.array(id_, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (n_, pos))], ["key", "band", "own", "id", "n", "pos"])
 
-    return sets.select("id", "n", "keys").mapInArrow(run, "key bigint, band int, own int, id bigint, n int, pos int")
+    return sets.select("id", "n", "keys").mapInArrow(lean(run), "key bigint, band int, own int, id bigint, n int, pos int")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both.append(int((pivot[at] == other).sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("p", "id", "pn", "n", "pc", "comp")), pa.array(both, pa.int32())], ["p", "id", "pn", "n", "pc", "comp", "o"])
 
-    return read.mapInArrow(run, "p bigint, id bigint, pn int, n int, pc bigint, comp bigint, o int")
+    return read.mapInArrow(lean(run), "p bigint, id bigint, pn int, n int, pc bigint, comp bigint, o int")
 
 
 def _linked(o, n, m):
@@ -381,7 +381,7 @@ def _stars(links: DataFrame, level: int) -> DataFrame:
         if sum(map(len, held)):
             yield finish()
 
-    return links.select("p", "id").mapInArrow(run, "id bigint, rank bigint, root bigint")
+    return links.select("p", "id").mapInArrow(lean(run), "id bigint, rank bigint, root bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -571,7 +571,7 @@ def _compared(sets: DataFrame, labels: DataFrame, emit: Callable[..., Iterator[p
         if held:
             yield from finish()
 
-    return _meeting_sides(sets, labels).repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(run, schema)
+    return _meeting_sides(sets, labels).repartition(*_TASK).sortWithinPartitions(*_TASK).mapInArrow(lean(run), schema)
 
 
 def set_links(sets: DataFrame, labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailweir.llm.common import partitions, read_table, stored
+from mailweir.llm.common import lean, partitions, read_table, stored
 
 SHARDS, TOLERANCE, PROBES, OPEN = 24, 0.01, 2048, 64
 #: Bytes of text that one task of the exchange should get.
@@ -71,7 +71,7 @@ def _placed(df: DataFrame, bounds: Bounds, name: str) -> DataFrame:
             at = bounds.place(_unsigned(b.column("_hash"), 0), _unsigned(b.column("doc_id"), -_ZERO))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], [*b.schema.names, name])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())]))
 
 
 def _counts(keys: DataFrame, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def histogram_sort(docs: DataFrame, shards: int = SHARDS, text: str = "text", ke
             )
 
     made = [T.StructField("size", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]
-    return dealt.mapInArrow(number, T.StructType([*docs.schema.fields, *made]))
+    return dealt.mapInArrow(lean(number), T.StructType([*docs.schema.fields, *made]))
 
 
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailweir.llm.bpe import ENCODE_BYTES, PieceCache, content, in_order, joinable, lengths, load, packed_rows, vocabulary, worker_model
-from mailweir.llm.common import fresh_path, partitions, read_table, slices, stored
+from mailweir.llm.bpe import ENCODE_BYTES, PieceCache, content, in_order, joinable, lengths, load, packed_rows, vocabulary
+from mailweir.llm.common import fresh_path, lean, partitions, read_table, slices, stored, worker_model
 
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 1 << 20
@@ -257,7 +257,7 @@ def write_ids(docs: DataFrame, vocabulary_path: str, out: str, key: str = "doc_i
                 ids, bounds = np.insert(ids, bounds[1:], end), bounds + np.arange(len(bounds))
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), b.column("key"), packed_rows(ids, bounds)], ["shard", "key", "packed"])
 
-    dealt = rows.mapInArrow(encode, "shard int, key bigint, packed binary")
+    dealt = rows.mapInArrow(lean(encode, models=True), "shard int, key bigint, packed binary")
     ordered = dealt.repartitionById(n, "shard").sortWithinPartitions(F.col("key").asc_nulls_first(), "packed")
     width = _encoder(shared.value).width
 
@@ -280,7 +280,7 @@ def write_ids(docs: DataFrame, vocabulary_path: str, out: str, key: str = "doc_i
         if keys:
             yield flush()
 
-    ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value")).write.text(f"{out}/shards")
+    ordered.mapInArrow(lean(blocks), "block binary").select(F.col("block").cast("string").alias("value")).write.text(f"{out}/shards")
     places = stored(read_shards(spark, out, crc=False).where("named").select("key", "shard", "offset", "n"), "places")
     parts = max(1, -(-places.count() // index_keys))
 
@@ -292,7 +292,7 @@ def write_ids(docs: DataFrame, vocabulary_path: str, out: str, key: str = "doc_i
             first = order[np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))]
             yield pa.RecordBatch.from_arrays([pa.array([_frame(IndexPart.pack(key[first], shard[first], offset[first], count[first]))], pa.binary())], ["block"])
 
-    index = places.repartitionById(parts, _part(F.col("key"), parts)).mapInArrow(hashed, "block binary")
+    index = places.repartitionById(parts, _part(F.col("key"), parts)).mapInArrow(lean(hashed), "block binary")
     index.select(F.col("block").cast("string").alias("value")).write.text(f"{out}/index")
     spark.range(1).select(F.lit(str(parts)).alias("value")).write.text(f"{out}/parts")
 
@@ -337,7 +337,7 @@ def read_shards(spark: SparkSession, out: str, crc: bool = True) -> DataFrame:
                     )
                     before += len(x.ids)
 
-    return _files(spark, f"{out}/shards").mapInArrow(run, "key bigint, shard int, offset bigint, start bigint, n bigint, crc bigint, named boolean")
+    return _files(spark, f"{out}/shards").mapInArrow(lean(run), "key bigint, shard int, offset bigint, start bigint, n bigint, crc bigint, named boolean")
 
 
 def locate(spark: SparkSession, out: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -370,7 +370,7 @@ def locate(spark: SparkSession, out: str, keys: DataFrame, key: str = "doc_id")
                     yield pa.RecordBatch.from_arrays([pa.array(some[known]), pa.array(shard.astype(np.int32)), pa.array(offset.astype(np.int64)), pa.array(count.astype(np.int64))], ["key", "shard", "offset", "n"])
 
     dealt = both.repartitionById(min(parts, partitions(spark)), F.col("number") % min(parts, partitions(spark))).sortWithinPartitions("number", F.col("key").asc_nulls_first())
-    return dealt.mapInArrow(run, "key bigint, shard int, offset bigint, n bigint")
+    return dealt.mapInArrow(lean(run), "key bigint, shard int, offset bigint, n bigint")
 
 
 def lookup(spark: SparkSession, out: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -401,7 +401,7 @@ def lookup(spark: SparkSession, out: str, keys: DataFrame, key: str = "doc_id")
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], [key, "ids"])
 
     wide = partitions(spark)
-    return both.repartitionById(wide, F.col("number") % wide).sortWithinPartitions("number", F.col("key").asc_nulls_first()).mapInArrow(run, f"`{key}` bigint, ids binary")
+    return both.repartitionById(wide, F.col("number") % wide).sortWithinPartitions("number", F.col("key").asc_nulls_first()).mapInArrow(lean(run), f"`{key}` bigint, ids binary")
 
 
 def read_documents(spark: SparkSession, out: str) -> DataFrame:

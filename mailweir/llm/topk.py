@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailweir.llm.common import read_table, stored
+from mailweir.llm.common import lean, read_table, stored
 
 K, EVERY, CELLS = 5, 50, 64
 #: Bytes of query vectors in one block.
@@ -95,7 +95,7 @@ def build_file(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, dict]:
                 yield pa.RecordBatch.from_arrays([b.column("number").take(pa.array(rows)), pa.array(np.full(len(rows), n), pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), b.column("sole").take(pa.array(rows))], ["number", "dims", "codes", "sole"])
 
     sole = F.when(F.col("ids")[0] == F.element_at("ids", -1), F.col("ids")[0])
-    return stored(exact.withColumn("sole", sole).mapInArrow(code, "number bigint, dims int, codes binary, sole bigint"), "cells"), exact, limits
+    return stored(exact.withColumn("sole", sole).mapInArrow(lean(code), "number bigint, dims int, codes binary, sole bigint"), "cells"), exact, limits
 
 
 def _bounds(codes: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def _search(cells: DataFrame, exact: DataFrame, limits: dict, block: list[tuple[
                 q, c, least, most = q[good], c[good], least[good], most[good]
                 yield pa.RecordBatch.from_arrays([pa.array(queries[n][0][q], pa.int32()), pa.array(c, pa.int64()), pa.array(least), pa.array(most)], ["q", "number", "least", "most"])
 
-    near = stored(cells.mapInArrow(scan, "q int, number bigint, least double, most double"), "near")
+    near = stored(cells.mapInArrow(lean(scan), "q int, number bigint, least double, most double"), "near")
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("least").desc(), "number"))).where(F.col("n") <= need)
     floor = ranked.groupBy("q").agg(F.when(F.count(F.lit(1)) >= need, F.min("least")).otherwise(F.lit(float("-inf"))).alias("floor"))
     wanted = near.join(floor, "q").where(F.col("most") >= F.col("floor")).select("q", "number", "most")
@@ -194,7 +194,7 @@ def _search(cells: DataFrame, exact: DataFrame, limits: dict, block: list[tuple[
         out += scores
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
-    return read.mapInArrow(refine, "query_id bigint, vec_id bigint, score bigint")
+    return read.mapInArrow(lean(refine), "query_id bigint, vec_id bigint, score bigint")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailweir.llm.common import fresh_path, read_table, stored
+from mailweir.llm.common import fresh_path, lean, read_table, stored
 
 MAGIC = "WARC/1.1\r\n"
 #: Byte ranges up to which their entries are broadcast (about 200 bytes each); beyond, they are joined by shuffle.
@@ -148,7 +148,7 @@ def _chains(spark: SparkSession, path: str) -> DataFrame:
         if now:
             yield flush()
 
-    return small.mapInArrow(run, _LINKS)
+    return small.mapInArrow(lean(run), _LINKS)
 
 
 def verified_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -271,7 +271,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         if out:
             yield emit()
 
-    found = met.mapInArrow(run, _RECORD)
+    found = met.mapInArrow(lean(run), _RECORD)
     records = found.where("goal IS NULL AND type IS NOT NULL").drop("goal")
     if not known["crossing"]:
         return records
@@ -297,7 +297,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds[:2] + kinds[3:])], names[:2] + names[3:])
 
     torn = found.where("goal IS NOT NULL").select("file", "offset", "goal", "payload").repartition("file", "goal").sortWithinPartitions("file", "goal", "offset")
-    return records.unionByName(torn.mapInArrow(join, _RECORD.replace("goal bigint, ", "")))
+    return records.unionByName(torn.mapInArrow(lean(join), _RECORD.replace("goal bigint, ", "")))
 
 
 def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from mailweir.llm.bpe import byte_letters, load, vocabulary, worker_model
-from mailweir.llm.common import add_columns, read_table, texts_of
+from mailweir.llm.bpe import byte_letters, load, vocabulary
+from mailweir.llm.common import add_columns, read_table, texts_of, worker_model
 
 #: Words that a worker remembers; it starts anew beyond that.
 CACHE_WORDS = 500_000
@@ -117,7 +117,7 @@ def token_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         return work
 
-    return add_columns(df, text, [("n_words", "bigint"), ("n_tokens", "bigint"), ("n_unknown", "bigint")], make)
+    return add_columns(df, text, [("n_words", "bigint"), ("n_tokens", "bigint"), ("n_unknown", "bigint")], make, models=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

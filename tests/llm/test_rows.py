@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from mailweir.llm import bpe, decontaminate, quality, sharding, tokenids, topk, urls, wordpiece
+from mailweir.llm import bpe, quality, sharding, tokenids, topk, urls, wordpiece
 from mailweir.llm.common import fresh_path
 
 PATH = bpe.vocabulary("byte_bpe_50k.json")
@@ -76,53 +76,6 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge_urls(df, [], default="block").collect()} == {"block"}
 
 
-def test_decontamination(spark):
-    item = " ".join(f"w{i}" for i in range(14))
-    bench = spark.createDataFrame([(1, item), (2, "Short, one"), (3, ""), (4, None), (None, item), (2, "also w3")], "item_id bigint, text string")
-    texts = [None, "", "before " + item.upper() + " after", "short one and SHORT: one", " ".join(item.split()[2:12]), "also w3", " ".join(item.split()[:9])]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumnRenamed("doc_id", "items")
-    got = {r["text"]: (r["hits"], r["items"]) for r in decontaminate.find_hits(docs, bench).collect()}
-    assert got == {None: ([], []), "": ([], []), texts[2]: ([[1, 15]], [1]), texts[3]: ([[0, 2], [3, 5]], [2]), texts[4]: ([[0, 10]], [1]), texts[5]: ([[0, 2]], [2]), texts[6]: ([], [])}
-    near = decontaminate.near_matches(docs.withColumnRenamed("items", "doc_id").selectExpr("cast(doc_id as bigint) doc_id", "text"), bench, within=20)
-    assert {(r["doc_id"], r["item_id"]) for r in near.collect()} >= {(2, 1)}  # the rarest terms of item 1 are in text 2 alone
-
-
-def test_near_matches_of_long_items(spark):
-    """Against brute force: items longer than the distance, copies of parts, and words that the corpus lacks."""
-    import random
-
-    rng = random.Random(4)
-    word = lambda n=60: f"w{int(rng.random() ** 2 * n)}"
-    items = [(i, [word() if rng.random() < 0.6 else f"only{i}x{k}" for k in range(rng.randint(15, 59))]) for i in range(8)] + [(20, ["w1"]), (21, []), (22, ["w1", "w2"])]
-    texts = [[word() for _ in range(rng.randint(0, 120))] for _ in range(25)] + [w for _, w in items[:4]]
-    texts += [[word() for _ in range(30)] + w[3:40] for _, w in items[4:]]
-    bench = spark.createDataFrame([(i, " ".join([*w, *(["nowhere"] if i == 2 else [])])) for i, w in items], "item_id bigint, text string")
-    items[2][1].append("nowhere")
-    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id bigint, text string")
-    count, number = {}, {}
-    for w in texts:
-        for x in w:
-            count[x] = count.get(x, 0) + 1
-    for _, w in sorted(items, key=lambda x: x[0]):
-        for x in w:
-            number.setdefault(x, len(number))
-    for within in (20, 6):
-        size, want = min(10, within + 1), {}
-        for i, w in items:
-            for k in range(max(len(w) - size + 1, min(len(w), 1))):
-                window = set(w[k : k + size])
-                rare = sorted((x for x in window if x in count), key=lambda x: (count[x], number[x]))[:3]
-                if len(rare) < min(3, len(window)):
-                    continue
-                for d, t in enumerate(texts):
-                    for at, x in enumerate(t):
-                        if x == rare[0] and set(rare) <= set(t[max(0, at - within) : at + within + 1]):
-                            want.setdefault((d, i), set()).add(at)
-        got = {(r["doc_id"], r["item_id"]): r["places"] for r in decontaminate.near_matches(docs, bench, within=within).collect()}
-        assert got == {k: len(v) for k, v in want.items()}
-        assert {(25 + i, i) for i in range(4)} <= set(got)  # whole copies
-
-
 def test_shards(spark, docs):
     got = sharding.histogram_sort(docs, shards=3).collect()
     assert len(got) == len(ROWS)
