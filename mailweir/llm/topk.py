@@ -7,14 +7,16 @@ for each query, the vectors whose upper bound reaches the k-th best lower bound;
 exact vectors of those, best bound first, until the k-th exact result beats the next bound.
 
 Queries are a stated set; they are taken in blocks of bounded size, and each block scans the cells
-once. Equal vectors are scanned once, with at most k rows of each id and the 2 k smallest of those, which are
+once, its bounds in tiles of bounded size. What a query must read is dealt over tasks if it is much, and each keeps the k best. Equal vectors are scanned once, with at most k rows of each id and the 2 k smallest of those, which are
 all that can be in an answer (k of them may have the query's id). A vector that only rows of the query's id
 hold is no candidate.
 
 Defined results: vectors null or with null or non-finite components, and null ids, take no part as
 query or candidate. Vectors are compared with those of the same length only. Empty vectors score 0. Ties go to the
 smaller id; rows that repeat an id are candidates each, but no row with the query's id is. Rows that repeat a
-query's id are one query: its answer is the k best of all pairs of such a row and a candidate row.
+query's id are one query: its answer is the k best of all pairs of such a row and a candidate row. A component whose integer has more than 64
+bits is an error, and so is an answer whose score has; products that may are summed in integers of any size. Other columns are left out; an empty
+table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from mailweir.llm.common import lean, read_table, stored
 K, EVERY, CELLS = 5, 50, 64
 #: Bytes of query vectors in one block.
 BLOCK_BYTES = 16 << 20
-#: Rows from which the cell bounds are taken (any bounds give exact answers), at most this many values a dimension.
-CELL_SAMPLE = 20_000
-#: Vectors whose bounds are in memory together.
-SCAN_ROWS = 2048
+#: Rows from which the cell bounds are taken (any bounds give exact answers), and bytes of these: a bounded sample.
+CELL_SAMPLE, SAMPLE_BYTES = 20_000, 16 << 20
+#: Vectors, and pairs of a query and a vector, whose bounds are in memory together.
+SCAN_ROWS, TILE = 2048, 1 << 19
+#: Vectors that a task reads for one query; more are dealt over several.
+READ_ROWS = 512
 
 
 def whole_numbers(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -43,7 +47,9 @@ def whole_numbers(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
     x = F.col(f"`{vector}`")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & x.isNotNull() & ~bad)
-    return rows.select("id", F.transform("x", lambda c: F.floor(c.cast("double") * 256).cast("bigint")).alias("v"))
+    wide = F.exists("x", lambda c: F.abs(c.cast("double") * 256) >= 2.0**63)
+    whole = F.transform("x", lambda c: F.floor(c.cast("double") * 256).cast("bigint"))
+    return rows.select("id", F.when(wide, F.raise_error(F.lit("a component of a vector has more than 64 bits")).cast("array<bigint>")).otherwise(whole).alias("v"))
 
 
 def _matrix(column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -69,6 +75,24 @@ class Cells:
         return np.stack([np.searchsorted(self.cuts[:, j], v[:, j], side="right") for j in range(v.shape[1])], 1).astype(np.uint8) if v.shape[1] else np.empty((len(v), 0), np.uint8)
 
 
+def _spans(exact: DataFrame) -> DataFrame:
+    """dims, lo and hi: the least and greatest value of each dimension, by length; each task sends one row a length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for n, _, v in _matrix(b.column("v")):
+                if n:
+                    lo, hi = v.min(axis=0), v.max(axis=0)
+                    found[n] = (np.minimum(lo, found[n][0]), np.maximum(hi, found[n][1])) if n in found else (lo, hi)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), *(pa.array([f[k].tolist() for f in found.values()], pa.list_(pa.int64())) for k in (0, 1))], ["dims", "lo", "hi"])
+
+    each = exact.select("v").mapInArrow(lean(run), "dims int, lo array<bigint>, hi array<bigint>")
+    rows = each.select("dims", F.posexplode(F.arrays_zip("lo", "hi")).alias("j", "x")).groupBy("dims", "j").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+    sorted_ = rows.groupBy("dims").agg(F.array_sort(F.collect_list(F.struct("j", "lo", "hi"))).alias("a"))
+    return sorted_.select("dims", F.col("a.lo").alias("lo"), F.col("a.hi").alias("hi"))
+
+
 def build_file(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, dict]:
     """The approximation file (number, dims, codes, sole: the id, if all rows have one), the exact file (number, v, ids) and the limits by length.
 
@@ -78,13 +102,12 @@ def build_file(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, dict]:
     each = hashed.withColumn("n", F.row_number().over(Window.partitionBy("h", "v", "id").orderBy("id"))).where(F.col("n") <= k)
     few = each.withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("n") <= 2 * k)
     exact = stored(few.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("number", F.monotonically_increasing_id()).select("number", F.size("v").alias("dims"), "v", "ids"), "exact")
-    sample = [r["v"] for r in exact.orderBy(F.xxhash64("v")).limit(CELL_SAMPLE).select("v").collect()]
-    ends = exact.select("dims", F.posexplode("v").alias("j", "x")).groupBy("dims", "j").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    spans = {r["dims"]: (np.array(r["lo"], np.int64), np.array(r["hi"], np.int64)) for r in _spans(exact).collect()}  # a row for each length
+    few_rows = max(1, min(CELL_SAMPLE, SAMPLE_BYTES // (8 * max(spans, default=1) + 8)))
+    sample = [r["v"] for r in exact.orderBy(F.xxhash64("v")).limit(few_rows).select("v").collect()]
     limits = {0: (Cells(np.empty((0, 0), np.int64)), np.zeros((1, 0)), np.zeros((1, 0)))}  # empty vectors have no dimension to bound
-    for n in {r["dims"] for r in ends}:
+    for n, (least, most) in spans.items():
         cells = Cells(np.array([s for s in sample if len(s) == n], np.int64).reshape(-1, n))
-        span = sorted((r["j"], r["lo"], r["hi"]) for r in ends if r["dims"] == n)
-        least, most = np.array([s[1] for s in span]), np.array([s[2] for s in span])
         inner = np.clip(cells.cuts, least, most)
         limits[n] = (cells, np.concatenate([least[None, :], inner]), np.concatenate([np.maximum(inner - 1, least), most[None, :]]))
 
@@ -157,14 +180,20 @@ def _search(cells: DataFrame, exact: DataFrame, limits: dict, block: list[tuple[
                 mine = np.flatnonzero(dims == n)
                 codes = np.frombuffer(b"".join(b.column("codes").take(pa.array(mine)).to_pylist()), np.uint8).reshape(len(mine), n)
                 for start in range(0, len(mine), SCAN_ROWS):
-                    least, most = _bounds(codes[start : start + SCAN_ROWS], queries[n][1], *limits_[n][1:])
-                    some = mine[start : start + SCAN_ROWS]
-                    none = single[some] & (sole[some] == ids[queries[n][0]][:, None])
-                    least[none] = -np.inf
-                    both = np.concatenate([best[n], least], 1)
-                    best[n] = -np.partition(-both, need - 1, axis=1)[:, :need]
-                    q, c = np.nonzero((most >= best[n].min(1, keepdims=True)) & ~none)
-                    kept[n].append((q, numbers[mine[start + c]], least[q, c], most[q, c]))
+                    some, each = mine[start : start + SCAN_ROWS], max(1, TILE // SCAN_ROWS)
+                    for i in range(0, len(queries[n][0]), each):  # a tile
+                        tile = slice(i, i + each)
+                        least, most = _bounds(codes[start : start + SCAN_ROWS], queries[n][1][tile], *limits_[n][1:])
+                        none = single[some] & (sole[some] == ids[queries[n][0][tile]][:, None])
+                        least[none] = -np.inf
+                        both = np.concatenate([best[n][tile], least], 1)
+                        best[n][tile] = -np.partition(-both, need - 1, axis=1)[:, :need]
+                        q, c = np.nonzero((most >= best[n][tile].min(1, keepdims=True)) & ~none)
+                        kept[n].append((q + i, numbers[mine[start + c]], least[q, c], most[q, c]))
+                if len(kept[n]) > 64:  # what the bounds that were found since rule out goes
+                    q, c, least, most = (np.concatenate(x) for x in zip(*kept[n], strict=True))
+                    good = most >= best[n].min(1)[q]
+                    kept[n] = [(q[good], c[good], least[good], most[good])]
         for n, found in kept.items():
             if found:
                 q, c, least, most = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -176,22 +205,28 @@ def _search(cells: DataFrame, exact: DataFrame, limits: dict, block: list[tuple[
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.col("least").desc(), "number"))).where(F.col("n") <= need)
     floor = ranked.groupBy("q").agg(F.when(F.count(F.lit(1)) >= need, F.min("least")).otherwise(F.lit(float("-inf"))).alias("floor"))
     wanted = near.join(floor, "q").where(F.col("most") >= F.col("floor")).select("q", "number", "most")
-    read = wanted.join(exact.select("number", "v", "ids"), "number").repartition("q").sortWithinPartitions("q", F.col("most").desc())
+    shares = wanted.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / READ_ROWS).alias("shares"))
+    wanted = wanted.join(shares, "q").select("q", "number", "most", F.pmod(F.xxhash64("number"), F.col("shares")).cast("int").alias("share"))
+    read = wanted.join(exact.select("number", "v", "ids"), "number").repartition("q", "share").sortWithinPartitions("q", "share", F.col("most").desc())
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, _ = pickle.loads(shared.value)
         vector = {int(i): v for rows, vs in queries.values() for i, v in zip(rows, vs, strict=True)}
-        now, scores, out = -1, [], []
+        now, scores, out = None, [], []
+        most_of = {i: int(np.abs(x).max(initial=0)) for i, x in vector.items()}
         for b in batches:
-            for q, most, v, members in zip(b.column("q").to_pylist(), b.column("most").to_pylist(), b.column("v").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if q != now:
+            for q, share, most, v, members in zip(*(b.column(c).to_pylist() for c in ("q", "share", "most", "v", "ids")), strict=True):
+                if (q, share) != now:
                     out += scores
-                    now, scores, own = q, [], int(ids[q])
+                    now, scores, own = (q, share), [], int(ids[q])
                 if len(scores) >= k and scores[-1][2] > most:
                     continue  # certain: what follows can't reach the k-th result
-                score = int(vector[q] @ np.array(v, np.int64))
+                wide = most_of[q] * max(map(abs, v), default=0) * len(v) >= 1 << 63
+                score = sum(a * b for a, b in zip(vector[q].tolist(), v, strict=True)) if wide else int(vector[q] @ np.array(v, np.int64))
                 scores = sorted([*scores, *((own, m, score) for m in members if m != own)], key=lambda s: (-s[2], s[1]))[:k]
         out += scores
+        if any(abs(r[2]) >= 1 << 63 for r in out):
+            raise OverflowError("the score of an answer has more than 64 bits")
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
     return read.mapInArrow(lean(refine), "query_id bigint, vec_id bigint, score bigint")

@@ -131,6 +131,35 @@ def test_top_k_of_empty_vectors(spark):
         assert sorted(map(tuple, got)) == [(0, 1, 1, 6 * 256 * 256), (0, 2, 2, 3 * 256 * 256), *want]
 
 
+def test_top_k_of_large_values(spark):
+    """Products beyond 64 bits rank right if no answer has one, and are an error else; so are components beyond them."""
+    import pytest
+
+    big = 1e12
+    rows = [(0, [big, -big]), (1, [big, big]), (2, [1.0, 2.0]), (3, [2.0, 1.0]), (50, [1.0, 1.0])]
+    whole = topk.whole_numbers(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = topk.top_k(whole, whole.where("id = 50"), k=4).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, int(big) * 2 * 65536), (2, 3 * 65536), (3, 3 * 65536), (0, 0)]
+    low = topk.top_k(whole, whole.where("id = 0"), k=1).collect()  # the product with 1 is 0, that with 2 and 50 is small
+    assert [(r["vec_id"], r["score"]) for r in low] == [(3, int(big) * 65536)]
+    with pytest.raises(Exception, match="more than 64 bits"):
+        topk.top_k(whole.unionAll(whole.selectExpr("id + 90", "v")), whole.where("id = 0"), k=1).collect()
+    with pytest.raises(Exception, match="more than 64 bits"):
+        topk.whole_numbers(spark.createDataFrame([(1, [1e30])], "vec_id bigint, embedding array<double>")).collect()
+
+
+def test_top_k_reads_in_shares_and_tiles(spark, monkeypatch):
+    """Many equal bounds, few rows a task and a tile: the same answers."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=3), 1)]) for i in range(400)]
+    whole = topk.whole_numbers(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    want = sorted(map(tuple, topk.top_k(whole, whole.where("id % 50 = 0")).collect()))
+    for name, value in (("READ_ROWS", 3), ("SCAN_ROWS", 16), ("TILE", 32), ("SAMPLE_BYTES", 200)):
+        monkeypatch.setattr(topk, name, value)
+    assert sorted(map(tuple, topk.top_k(whole, whole.where("id % 50 = 0")).collect())) == want
+    assert topk.top_k(whole.limit(0), whole.limit(0)).count() == 0
+
+
 def test_quality(spark):
     words = [f"plain{i % 97} prose{i % 89}" for i in range(900)]
     rows = [(i, " ".join(words[i : i + 60]) if i % 2 else "### " * 20 + " *** ".join(words[i : i + 20])) for i in range(400)] + [(400, None), (401, "")]
