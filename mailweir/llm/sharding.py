@@ -6,14 +6,15 @@ keys over all partitions, and each round puts its probes only where a splitter i
 tolerance of its share of the bytes. A round brings back at most PROBES counts for each open splitter
 (at most 64 splitters' intervals are refined at once). Then the rows are exchanged once, straight to
 their place: shards are cut into slices at known counts, so a slice is a task and slots need no pass
-over a whole shard.
+over a whole shard. A text that many rows hold is cut into slices between their doc_ids.
 
 A group of equal texts stays in one shard unless that would put a shard's end more than the
-tolerance (1 % of a shard) from its share; then it is cut between doc_ids.
+tolerance (1 % of a shard) from its share; then it is cut between doc_ids. So with few or long texts, of which one is more than the
+tolerance, a group is cut where a boundary beside it would be farther from the share than one inside it.
 
 Defined results: a null text has 8 bytes, crc32 0 and a key of its own group; null doc_ids come first
-in their group. Rows equal in both text and doc_id have one key and stay together. An empty table
-gives no rows. Extra columns go along; columns named like an output are replaced.
+in their group. Rows equal in both text and doc_id have one key, and stay together in a shard and in a
+task. Texts of any length count whole. An empty table gives no rows. Extra columns go along; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailweir.llm.common import lean, partitions, read_table, stored
+from mailweir.llm.common import discard, lean, partitions, read_table, stored
 
 SHARDS, TOLERANCE, PROBES, OPEN = 24, 0.01, 2048, 64
 #: Bytes of text that one task of the exchange should get.
@@ -50,7 +51,7 @@ class Bounds:
     def place(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """How many boundaries are at or below each key."""
         at = np.searchsorted(self.hashes, hashes, side="right")
-        for cut in np.unique(self.hashes[self.ids > 0]):
+        for cut in np.intersect1d(self.hashes[self.ids > 0], hashes):
             low, high = np.searchsorted(self.hashes, cut, side="left"), np.searchsorted(self.hashes, cut, side="right")
             mine = np.flatnonzero(hashes == cut)
             at[mine] = low + np.searchsorted(self.ids[low:high], ids[mine], side="right")
@@ -121,6 +122,21 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, p
     return [chosen[i] for i in range(1, shards)], total
 
 
+def _inside(keys: DataFrame, slices: int) -> list[int]:
+    """Keys that cut the rows of a hash with more than a slice's share of all rows between their doc_ids, so that they are several slices."""
+    total = keys.count()
+    share = max(1, -(-total // slices))
+    hot = stored(keys.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * share), "hot")  # fewer than slices
+    most = hot.agg(F.max("n")).first()[0]
+    if not most:
+        return []
+    pieces = min(-(-most // share), 1 << 12)
+    ids = F.percentile_approx(F.coalesce("doc_id", F.lit(-_ZERO)), [i / pieces for i in range(1, pieces)], 4 * pieces)
+    rows = keys.join(hot.select("_hash"), "_hash").groupBy("_hash").agg(ids.alias("ids")).collect()
+    discard(hot)
+    return [(r["_hash"] + _ZERO) * _ID + i + _ZERO for r in rows for i in set(r["ids"])]
+
+
 def _probes(low: int, high: int, probes: int) -> list[int]:
     """Candidate keys of a span with both its ends; between groups as long as it holds several hashes."""
     inner = {low + (high - low) * j // probes for j in range(1, probes)}
@@ -140,7 +156,7 @@ def histogram_sort(docs: DataFrame, shards: int = SHARDS, text: str = "text", ke
     splitters, total = find_splitters(keys, shards)
     slices = int(min(max(total // SLICE_BYTES + 1, 4 * partitions(spark), 4 * shards), 1 << 16))
     step = _ID * _ID // slices
-    bounds = sorted({*splitters, *(i * step for i in range(1, slices))})
+    bounds = sorted({*splitters, *(i * step for i in range(1, slices)), *_inside(keys, slices)})
     _, rows = _counts(keys, bounds)
     starts = sorted(splitters)
     shard_of = np.searchsorted(np.array(starts, object), np.array([0, *bounds], object), side="right") if starts else np.zeros(len(bounds) + 1, int)
