@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -178,12 +179,14 @@ def _both(n, m):
     return -(-SHARE * (n + m) // (100 + SHARE))
 
 
-_SENT = "head int, bucket int, block bigint, a binary, b binary, c binary"
+_SENT = "head int, bucket int, block bigint, a binary, b binary, c binary, d binary"
+#: In place of an owner: several sets of the block hold the shingle; the block's own row says which.
+_SEVERAL = np.uint32(0xFFFFFFFF)
 
 
 def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
     """id, sig, n and keys (shared shingles, as 64-bit numbers in list order) of every distinct set that may have a link."""
-    bits = min(max(6, int(-(-shingles // BUCKET_SHINGLES) - 1).bit_length()), 14)
+    bits = min(max(6, int(-(-shingles // BUCKET_SHINGLES) - 1).bit_length()), 16)
     buckets, drop = 1 << bits, _U(16 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,17 +198,25 @@ def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
             sizes = np.array([len(s) for s in seen.values()], np.uint32)
             keys = np.concatenate(list(seen.values())) >> drop
             owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-            order = np.argsort(keys)
+            order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            times = np.diff(np.append(first, len(keys))).astype(np.uint32)
+            several = times > 1  # one entry for the block, so that a shingle of very many sets isn't as many entries of its bucket
+            whose = b"".join([struct.pack("<Q", int(several.sum())), keys[first[several]].tobytes(), times[several].tobytes(), owner[np.repeat(several, times)].tobytes()])
+            keys, owner = keys[first], np.where(several, _SEVERAL, owner[first])
             ends = np.searchsorted(keys >> _U(48), np.arange(buckets + 1, dtype=_U))
             low, high = keys.astype(np.uint32), ((keys >> _U(32)) & _U(0xFFFF)).astype(np.uint16)
-            rows = [(0, k, np.diff(high[i:j], prepend=_U(0).astype(np.uint16)).tobytes(), low[i:j].tobytes(), owner[i:j].tobytes()) for k, (i, j) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)) if j > i]
-            rows.append((1, (task * 31 + number) % buckets, b"".join(seen), sizes.tobytes(), b""))
+            rows = [
+                (0, k, np.diff(high[i:j], prepend=_U(0).astype(np.uint16)).tobytes(), low[i:j].tobytes(), owner[i:j].tobytes(), times[i:j][several[i:j]].tobytes())
+                for k, (i, j) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)) if j > i
+            ]
+            rows.append((1, (task * 31 + number) % buckets, b"".join(seen), sizes.tobytes(), whose, b""))
             for part in range(0, len(rows), 64):
                 some = rows[part : part + 64]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.int32()), pa.array([task << 24 | number] * len(some), pa.int64()), *(pa.array([r[k] for r in some], pa.binary()) for k in (2, 3, 4))],
-                    ["head", "bucket", "block", "a", "b", "c"],
+                    [pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.int32()), pa.array([task << 24 | number] * len(some), pa.int64()), *(pa.array([r[k] for r in some], pa.binary()) for k in (2, 3, 4, 5))],
+                    ["head", "bucket", "block", "a", "b", "c", "d"],
                 )
 
         for b in _sized(batches):
@@ -223,19 +234,20 @@ def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
         now, held = None, []
 
         def answer() -> Iterator[pa.RecordBatch]:
-            low, owner, block = [], [], []
-            for number, a, b, c in held:
+            low, owner, weight = [], [], []
+            for _, a, b, c, d in held:
                 high = np.cumsum(np.frombuffer(a, np.uint16), dtype=np.uint16).astype(_U)
                 low.append(high << _U(32) | np.frombuffer(b, np.uint32))
                 owner.append(np.frombuffer(c, np.uint32))
-                block.append(np.full(len(low[-1]), number, np.int32))
+                many = np.ones(len(low[-1]), np.int64)
+                many[owner[-1] == _SEVERAL] = np.frombuffer(d, np.uint32)
+                weight.append(many)
             ids = [x for x, *_ in held]
             keys, owner, block = np.concatenate(low), np.concatenate(owner), np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in low])
             order = np.argsort(keys)
             keys = keys[order]
             new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            times = np.diff(np.append(new, len(keys)))
-            held_by = np.repeat(times, times)
+            held_by = np.repeat(np.add.reduceat(np.concatenate(weight)[order], new), np.diff(np.append(new, len(keys))))
             shared = held_by >= 2
             keys, owner, block = keys[shared] | _U(now) << _U(48), owner[order][shared], block[order][shared]
             rank = np.frexp(held_by[shared].astype(float))[1].astype(np.uint8)
@@ -247,7 +259,7 @@ def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([ids[k]], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys[mine].astype(_U).tobytes(), owner[mine].tobytes(), rank[mine].tobytes()))], ["head", "block", "a", "b", "c"])
 
         for batch in batches:
-            for head, bucket, block, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("head", "bucket", "block", "a", "b", "c")), strict=True):
+            for head, bucket, block, a, b, c, d in zip(*(batch.column(x).to_pylist() for x in ("head", "bucket", "block", "a", "b", "c", "d")), strict=True):
                 if head:
                     yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in (a, b, c))], ["head", "block", "a", "b", "c"])
                     continue
@@ -255,17 +267,24 @@ def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
                     yield from answer()
                     held = []
                 now = bucket
-                held.append((block, a, b, c))
+                held.append((block, a, b, c, d))
         if held:
             yield from answer()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, sigs, sizes = None, [], b"", np.empty(0, np.uint32)
+        now, parts, sigs, sizes, whose = None, [], b"", np.empty(0, np.uint32), b""
 
         def finish() -> pa.RecordBatch:
             rows = []
             if parts and len(sizes):
                 keys, owner, rank = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in enumerate((_U, np.uint32, np.uint8)))
+                several = owner == _SEVERAL
+                if several.any():  # of the block's row: all that it has are shared
+                    (n,) = struct.unpack_from("<Q", whose)
+                    known, times = np.frombuffer(whose, _U, n, 8), np.frombuffer(whose, np.uint32, n, 8 + 8 * n)
+                    ranks = np.empty(n, np.uint8)
+                    ranks[np.searchsorted(known, keys[several])] = rank[several]
+                    keys, owner, rank = (np.concatenate([x[~several], y]) for x, y in ((keys, np.repeat(known, times)), (owner, np.frombuffer(whose, np.uint32, -1, 8 + 12 * n)), (rank, np.repeat(ranks, times))))
                 order = np.lexsort((keys, rank, owner))
                 keys, owner = keys[order], owner[order]
                 ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
@@ -279,7 +298,7 @@ def shared_shingles(docs: DataFrame, shingles: int) -> DataFrame:
                     yield finish()
                     now, parts, sizes = block, [], np.empty(0, np.uint32)
                 if head:
-                    sigs, sizes = a, np.frombuffer(b, np.uint32)
+                    sigs, sizes, whose = a, np.frombuffer(b, np.uint32), c
                 else:
                     parts.append((a, b, c))
         yield finish()
@@ -646,7 +665,7 @@ def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component, with its columns: of the smallest doc_id (null last), the text with the smallest digest.
+    """One row of each component, with all its columns, whatever their names: of the smallest doc_id (null last), the text with the smallest digest.
 
     Rows equal in doc_id and text are one key; any one of them stays. Each row with an empty set is its own
     component, and stays.
@@ -656,16 +675,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = tagged.groupBy("comp", "doc_id", "_digest").agg(F.count(F.lit(1)).alias("n"))
     first = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_digest", "n")).alias("k")).select("k.doc_id", "k._digest", "k.n")
     keys = stored(first.unionByName(rows.where("comp IS NULL").select("doc_id", "_digest", F.lit(1).cast("bigint").alias("n"))), "keys")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*columns, digest)
+    rows_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), digest.alias("_key"))  # apart from the user's names
 
     def having(found: DataFrame) -> DataFrame:
-        k = found.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_key"))
-        return marked.join(k, marked["doc_id"].eqNullSafe(k["_id"]) & (marked["_digest"] == k["_key"]), "left_semi")
+        return rows_.join(found.select("doc_id", "_digest"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("_digest")), "left_semi")
 
-    out = having(keys.where("n = 1")).select(*columns)
+    out = having(keys.where("n = 1")).select("row.*")
     repeated = keys.where("n > 1")
     if not repeated.limit(1).count():
         return out
-    one = having(repeated).groupBy("doc_id", "_digest").agg(F.first(F.struct(*columns)).alias("row"))  # combined before the exchange
-    return out.unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    one = having(repeated).groupBy("_id", "_key").agg(F.first("row").alias("row"))  # combined before the exchange
+    return out.unionByName(one.select("row.*"))

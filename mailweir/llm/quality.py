@@ -1,22 +1,24 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are trained, on texts labelled good and on texts labelled bad. A text is
-compressed whole with each; how much shorter one result is than the other, as a share of the longer
-one, says which kind it resembles, and its compressed share of its own length tells repetition apart
-from prose. A logistic curve, fitted on labelled texts that the dictionaries haven't seen, turns these
-sizes into a calibrated score from 0 to 1.
+Two zstandard dictionaries are built, from texts labelled good and from texts labelled bad. A text is compressed whole with each; by how
+many bytes one result is shorter than the other says which kind it resembles. This difference is normalised by the larger result and
+by the text's own length, and a logistic curve, fitted on labelled texts that the dictionaries haven't seen, turns it into a calibrated
+score from 0 to 1; the text's length only decides how much a difference counts. A score uses nothing else of a text.
 
 The fit takes a bounded sample of labelled rows (SAMPLE rows of each label, those of smallest hash,
 of at most SAMPLE_BYTES bytes each); everything is scored. Scores depend on the text alone.
 
 Defined results: null and empty texts get the share of good labels as score. Labels other than 0
-and 1, and labels without a document, are left out; repeated labels count as often as they stand. With
-one kind of label only, or none, every text gets the smoothed share of good labels.
+and 1, and labels without a document, are left out. A label row that is repeated counts once in the sample, and as often as it stands in the
+share of good labels; a doc_id with both labels is in both samples. With one kind of label only, or none, every text gets the smoothed share of
+good labels. Texts of any length are scored whole; equal texts get equal scores. An empty table gives no rows. `score` replaces a column of its
+output's name (in any case); `keep_good` adds none, so it gives back all columns.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailweir.llm.common import MAX_BROADCAST_BYTES, add_columns, discard, read_table, stored, texts_of
+from mailweir.llm.common import add_columns, discard, lean, read_table, slices, stored, texts_of
 
 SAMPLE, SAMPLE_BYTES = 4000, 16_384
-DICTIONARY_BYTES, LEVEL = 32_768, 1
+DICTIONARY_BYTES, LEVEL = 262_144, 7
 #: From which score a text is predicted good; from which the corpus filter keeps it.
-PREDICT, KEEP = 0.7, 0.5
+PREDICT, KEEP = 0.7, 0.3
 
 
 @dataclass
@@ -51,19 +53,16 @@ class Scorer:
 
     @staticmethod
     def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-        d = zstandard.ZstdCompressionDict(dictionary)
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
+        """The difference in its two normalisations, each as it is and times the length's logarithm, and that."""
         n = np.array([len(t) for t in texts], float)
         g, b = (np.array([len(c.compress(t)) for t in texts], float) for c in self.pair)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            lean = (b - g) / np.maximum(g, b)
-            share, size = np.log((np.minimum(g, b) + 1) / (n + 1)), np.log(n + 1) / 5
-        x = np.stack([10 * np.clip(lean, -0.3, 0.3), share, size, 3 * np.clip(lean, -1, 1)], 1)
-        pairs = [x[:, i] * x[:, j] for i in range(3) for j in range(i, 3)]
-        return np.concatenate([np.ones((len(n), 1)), x, np.stack(pairs, 1)], 1)
+        size, by_result, by_text = np.log(n + 1) / 5, np.clip(10 * (b - g) / np.maximum(g, b), -5, 5), np.clip(20 * (b - g) / (n + 1), -5, 5)
+        return np.stack([np.ones(len(n)), by_result, by_text, by_result * size, by_text * size, size], 1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts or not len(self.model.weights):
@@ -127,10 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     base = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     half = {k: (v[::2], v[1::2]) for k, v in parts.items()}
-    try:
-        pair = [zstandard.train_dictionary(DICTIONARY_BYTES, half[k][0]).as_bytes() for k in (1, 0)]
-    except zstandard.ZstdError:  # too little text: what there is serves as raw dictionary
-        pair = [b"".join(half[k][0])[-DICTIONARY_BYTES:] for k in (1, 0)]
+    pair = [b"\n".join(half[k][0])[-DICTIONARY_BYTES:] for k in (1, 0)]  # what both dictionaries hold is text as it stands
     if not all(half[k][1] and half[k][0] for k in (0, 1)) or min(map(len, pair)) < 8:
         return QualityModel(b"", b"", np.empty(0), base)
     model = QualityModel(*pair, np.empty(0), base)
@@ -142,11 +138,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     return model
 
 
+def _packed(model: QualityModel) -> bytes:
+    """A model goes to every task with the function; its size is that of two dictionaries."""
+    assert len(model.good) + len(model.bad) <= 2 * DICTIONARY_BYTES
+    return pickle.dumps(model)
+
+
 def score(df: DataFrame, model: QualityModel, text: str = "text", name: str = "score") -> DataFrame:
     """Add the score of every whole text; map-only."""
-    packed = pickle.dumps(model)
-    if len(packed) > MAX_BROADCAST_BYTES:
-        raise ValueError("the model is too large to go to every task")
+    packed = _packed(model)
 
     def make():
         scorer = Scorer(pickle.loads(packed))
@@ -163,6 +163,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= PREDICT).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their columns."""
-    return score(docs, fit(docs, labels), name="_quality_score").where(F.col("_quality_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP, text: str = "text") -> DataFrame:
+    """The documents that the classifier doesn't reject, with all their columns, whatever their names."""
+    packed = _packed(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(pickle.loads(packed))
+        for batch in batches:
+            for b in slices(batch, text):
+                good = scorer.scores([t or b"" for t in texts_of(b.column(text))]) >= threshold
+                if good.any():
+                    yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -132,3 +132,22 @@ def test_every_link_is_found(spark, monkeypatch, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.op3_jaccard_components(spark, str(tmp_path)).collect())
     assert got == [(*b, k) for b, k in zip(sorted(brute(rows)), links, strict=True)]
+
+
+def test_columns_of_the_operators_own_names(spark):
+    """keep_first gives back all columns; jaccard_components takes doc_id and text alone."""
+    from mailweir.llm import jaccard
+
+    names = ["_digest", "_id", "_key", "row", "comp", "sig", "id", "n", "n_shingles", "keys", "last"]
+    text = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text, *names), (2, text + " more", *names), (2, text + " more", *names), (3, "another text of its own here", *names), (None, None, *names)]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {', '.join(n + ' string' for n in names)}")
+    kept = jaccard.keep_first(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs, links=True).collect()), key=str) == sorted([(1, 56, 1, 2), (2, 57, 1, 2), (2, 57, 1, 2), (3, 2, 3, 0), (None, 0, None, 0)], key=str)
+
+
+def test_very_long_texts_link(spark):
+    long = " ".join(f"w{i % 50_000}x{i // 50_000}" for i in range(200_000))
+    docs = spark.createDataFrame([(5, long), (4, long + " and a little more"), (6, "w1")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect()) == [(4, 4), (5, 4), (6, 6)]
