@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,25 +18,29 @@ HEADER_BYTES = 4097
 _WORD = re.compile(r"=\?([A-Za-z0-9-]+)\?([QqBb])\?([^?]*)\?=")
 
 
-def decode_word(charset: str, kind: str, payload: str) -> str | None:
+#: How the bytes of a character set become text; another function may take its place.
+charset_hook: Callable[[bytes, str], str] = lambda data, charset: data.decode(charset, "replace")
+
+
+def decode_word(charset: str, kind: str, payload: str, hook: Callable[[bytes, str], str] | None = None) -> str | None:
     """One encoded word, null if it is malformed or of an unknown character set."""
     try:
         if kind in "Bb":
             data = base64.b64decode(payload, validate=True)
         else:
             data = re.sub(rb"=([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), payload.replace("_", " ").encode("ascii"))
-        return data.decode(charset, "replace")
+        return (hook or charset_hook)(data, charset)
     except (binascii.Error, ValueError, LookupError):
         return None
 
 
-def decode_words(text: str | None) -> str | None:
+def decode_words(text: str | None, hook: Callable[[bytes, str], str] | None = None) -> str | None:
     """Decode each encoded word; blanks between two of them go; one that is malformed stays as it is."""
     if text is None or "=?" not in text:
         return text
     out, at, joined = [], 0, False
     for m in _WORD.finditer(text):
-        between, word = text[at : m.start()], decode_word(*m.groups())
+        between, word = text[at : m.start()], decode_word(*m.groups(), hook)
         if not (joined and not between.strip(" \t")):
             out.append(between)
         out.append(m[0] if word is None else word)
@@ -45,7 +50,7 @@ def decode_words(text: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def decoded_words(text: pd.Series) -> pd.Series:
-    return text.map(decode_words)
+    return text.map(lambda x: decode_words(x))
 
 
 def header_block(data: Column) -> Column:

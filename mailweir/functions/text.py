@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailweir.functions.ip import let
+
 
 def glob_to_regex(glob: str) -> str | None:
     """An anchored expression for a shell pattern, null for a malformed one, which matches nothing.
@@ -88,7 +90,7 @@ def trim_bytes(text: Column, limit: int) -> Column:
 
 def trimmed_to(text: Column, limit: int) -> Column:
     """The same as text; a character that the limit splits becomes a replacement character."""
-    return F.make_valid_utf8(trim_bytes(text, limit).cast("string"))
+    return let(text, lambda x: F.make_valid_utf8(trim_bytes(x, limit).cast("string")))
 
 
 def queue_id(client: Column) -> Column:

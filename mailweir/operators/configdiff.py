@@ -65,3 +65,8 @@ def app_events(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     differs = lambda c: ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     conditions = [differs("backend_config"), ~F.col("o").eqNullSafe(F.col("n")), differs("allowed_hosts"), differs("pid_file"), differs("log_file"), differs("log_level")]
     return both.select(key, F.posexplode(_events(list(zip(APP_EVENTS, conditions, strict=True)))).alias("position", "event"))
+
+
+def as_map(*names: str) -> Column:
+    """Columns as a map from name to text."""
+    return F.create_map(*(x for n in names for x in (F.lit(n), F.col(n).cast("string"))))

@@ -53,6 +53,22 @@ def compressor(df: DataFrame) -> DataFrame:
     return df.withColumn("compressed", compressed(whole))
 
 
+def guarded(f: Callable[[str], str]):
+    """A function of texts as a column function that gives struct<value, error>: a text that it fails on has the error `storage failed`."""
+
+    @F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        def one(x: str | None) -> tuple[str | None, str | None]:
+            try:
+                return f(x), None
+            except Exception as e:
+                return None, f"storage failed: {e}"
+
+        return pd.DataFrame([one(x) for x in texts], columns=["value", "error"], dtype=object)
+
+    return run
+
+
 REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {"headersparser": headers_parser, "hasher": hasher, "header": header, "compressor": compressor, "debugger": lambda df: df}
 
 

@@ -69,3 +69,17 @@ def timed_out(df: DataFrame, by: str, at: str, tie: str, most: int) -> DataFrame
     """Add timed_out: whether a row came more than `most` units of `at` after the one before it in its session."""
     gap = F.col(at) - F.lag(at).over(Window.partitionBy(by).orderBy(at, tie))
     return df.withColumn("timed_out", F.coalesce(gap > most, F.lit(False)))
+
+
+def byte_totals(df: DataFrame, by: str, *texts: str) -> DataFrame:
+    """by and bytes: how many bytes the texts of a group's rows have together."""
+    one = sum((F.coalesce(F.octet_length(t), F.lit(0)) for t in texts), F.lit(0))
+    return df.groupBy(by).agg(F.sum(one).alias("bytes"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "client_id") -> DataFrame:
+    """Rows with a number from 1 without gaps in their order: counts of ranges of rows, then places within them; no task holds all rows."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = sizes.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_first", "_before")

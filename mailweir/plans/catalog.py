@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from mailweir.functions import addresses, grammar, ip, mime
 from mailweir.functions import text as fn
-from mailweir.operators import allow, configdiff, mailrows, processors, protocol, replies, sessions
-from mailweir.sources import config
+from mailweir.operators import allow, configdiff, mailrows, processors, protocol, replies, sessions, tlsnames
+from mailweir.sinks import logs, store
+from mailweir.sources import config, load
 from mailweir.sources import lines as line_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -597,3 +598,79 @@ def q55_recipient_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.element_at("rcpt_to", -1)
     reply = protocol.valid_recipients(rows, [protocol.user_too_long(address), F.when(address.startswith("full@"), "quota exceeded")])
     return rows.select("c_custkey", reply.alias("reply"))
+
+
+@query("""
+SELECT event_id, kind, name, CAST(number AS INTEGER) AS number FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'protocol' WHEN 1 THEN 'curve' WHEN 2 THEN 'cipher' ELSE 'client_auth' END AS kind,
+  CASE event_id % 8 WHEN 0 THEN 'tls1.2' WHEN 4 THEN 'tls1.9' WHEN 1 THEN 'X25519' WHEN 5 THEN 'P384' WHEN 2 THEN 'TLS_AES_128_GCM_SHA256' WHEN 6 THEN 'TLS_NONE' WHEN 3 THEN 'RequireAnyClientCert' ELSE 'NoClientCert' END AS name,
+  CASE event_id % 8 WHEN 0 THEN 771 WHEN 1 THEN 29 WHEN 5 THEN 24 WHEN 2 THEN 4865 WHEN 3 THEN 2 WHEN 7 THEN 0 END AS number FROM events) WHERE number IS NOT NULL""")
+def q56_tls_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of TLS settings joined with their numbers; unknown ones are left out."""
+    made = table(spark, sf_dir, "events").select("event_id", F.expr("""CASE event_id % 4 WHEN 0 THEN 'protocol' WHEN 1 THEN 'curve' WHEN 2 THEN 'cipher' ELSE 'client_auth' END""").alias("kind"), F.expr("""CASE event_id % 8
+      WHEN 0 THEN 'tls1.2' WHEN 4 THEN 'tls1.9' WHEN 1 THEN 'X25519' WHEN 5 THEN 'P384' WHEN 2 THEN 'TLS_AES_128_GCM_SHA256' WHEN 6 THEN 'TLS_NONE' WHEN 3 THEN 'RequireAnyClientCert' ELSE 'NoClientCert' END""").alias("name"))
+    return tlsnames.numbered(made)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'mail of ' || o_custkey ELSE 'own' END AS mail FROM orders")
+def q57_stored_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail rows with their mail from the key-value store, where they say that it is there."""
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    key = F.md5(k.cast("string").cast("binary"))
+    rows = orders.select("o_orderkey", key.alias("hash"), F.when(k % 2 == 0, "redis").otherwise("").alias("body"), F.when(k % 2 == 0, "").otherwise("own").alias("mail"))
+    held = orders.select(key.alias("key"), F.concat(F.lit("mail of "), F.col("o_custkey").cast("string")).alias("value"))
+    return store.joined(rows, held).select("o_orderkey", "mail")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'WARN' WHEN 3 THEN 'error' WHEN 4 THEN 'panic' ELSE 'odd' END AS level, event_id % 6 IN (2, 3, 4) AS shown FROM events")
+def q58_log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.expr("CASE event_id % 6 WHEN 0 THEN 'debug' WHEN 1 THEN 'info' WHEN 2 THEN 'WARN' WHEN 3 THEN 'error' WHEN 4 THEN 'panic' ELSE 'odd' END")
+    return table(spark, sf_dir, "events").select("event_id", level.alias("level"), logs.shown(level, "warn").alias("shown"))
+
+
+@query("SELECT s_suppkey, k, v FROM (SELECT s_suppkey, unnest(['s_name', 's_nationkey']) AS k, unnest([s_name, CAST(s_nationkey AS VARCHAR)]) AS v FROM supplier)")
+def q59_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of a struct as names and texts."""
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(configdiff.as_map("s_name", "s_nationkey")).alias("k", "v"))
+
+
+@query("""
+SELECT CAST(i AS BIGINT) AS session_id, 'to' || i || '@mail.example.com' AS rcpt, 'Subject: test ' || i || chr(10) || chr(10) || 'line 1 of ' || i || chr(10) || 'line 2 of ' || i || chr(10) || 'line 3 of ' || i || chr(10) AS data,
+  '198.18.' || (i // 256) % 256 || '.' || i % 256 AS remote_ip FROM range(500) AS t(i)""")
+def q60_generated_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of made-up clients, through the session machine."""
+    done = protocol.run_sessions(load.sessions(spark, 500), protocol.ServerOptions(allowed_hosts=("mail.example.com",)))
+    return protocol.messages(done).select("session_id", F.array_join("rcpt_to", ",").alias("rcpt"), "data", "remote_ip")
+
+
+@query("""
+WITH b AS (SELECT c_custkey, c_custkey % 2 = 0 AS backend, c_custkey % 3 = 0 AS hosts, c_custkey % 5 = 0 AS pid, c_custkey % 7 = 0 AS log, c_custkey % 11 = 0 AS level FROM customer)
+SELECT c_custkey, 'config_change:backend_config' AS event FROM b WHERE backend UNION ALL SELECT c_custkey, 'config_change:new_config' FROM b WHERE backend OR hosts OR pid OR log OR level
+UNION ALL SELECT c_custkey, 'config_change:allowed_hosts' FROM b WHERE hosts UNION ALL SELECT c_custkey, 'config_change:pid_file' FROM b WHERE pid
+UNION ALL SELECT c_custkey, 'config_change:log_file' FROM b WHERE log UNION ALL SELECT c_custkey, 'config_change:log_level' FROM b WHERE level""")
+def q61_application_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two versions of an application's configuration, for every customer."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    old = c.select("c_custkey", F.array(F.lit("process"), F.lit("A")).alias("backend_config"), F.array(F.lit("a.example")).alias("allowed_hosts"), F.lit("p").alias("pid_file"), F.lit("l").alias("log_file"), F.lit("info").alias("log_level"))
+    other = lambda name, n, value: F.when(k % n == 0, value).otherwise(F.col(name))
+    new = old.withColumns({
+        "backend_config": other("backend_config", 2, F.array(F.lit("process"), F.lit("B"))), "allowed_hosts": other("allowed_hosts", 3, F.array(F.lit("a.example"), F.lit("b.example"))),
+        "pid_file": other("pid_file", 5, F.lit("")), "log_file": other("log_file", 7, F.lit("off")), "log_level": other("log_level", 11, F.lit("debug")),
+    })
+    return configdiff.app_events(old, new, "c_custkey").select("c_custkey", "event")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S +0000') AS date FROM orders")
+def q62_mail_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time stamps as in message headers; the session's zone must be UTC."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", fn.mail_date(F.col("o_orderdate").cast("timestamp")).alias("date"))
+
+
+@query("SELECT c_nationkey, CAST(sum(strlen(c_name) + strlen(c_mktsegment)) AS BIGINT) AS bytes FROM customer GROUP BY c_nationkey")
+def q63_byte_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.byte_totals(table(spark, sf_dir, "customer"), "c_nationkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS client_id FROM events")
+def q64_client_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers without gaps in the order of arrival."""
+    return sessions.numbered(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "client_id")

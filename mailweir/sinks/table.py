@@ -22,11 +22,12 @@ def write_batch(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def insert_rows(df: DataFrame, connect: Callable[[], Any], table: str, key: str, rows: int = BATCH_ROWS, attempts: int = ATTEMPTS, pause: float = PAUSE, mark: str = "?") -> None:
+def insert_rows(df: DataFrame, connect: Callable[[], Any], table: str, key: str, rows: int = BATCH_ROWS, attempts: int = ATTEMPTS, pause: float = PAUSE, mark: str = "?", writers: int | None = None) -> None:
     """Insert all rows into a table, `rows` at a time in one statement and one transaction, from the executors.
 
     Rows of a key that is there are replaced: a failed or repeated task leaves no row twice, which needs `key` to tell rows
-    apart. A batch that fails is tried again, and after the last attempt the task fails. `connect` is called once in each task.
+    apart. A batch that fails is tried again, and after the last attempt the task fails. `connect` is called once in each task. `writers`
+    deals the rows at random over so many tasks.
     """
     columns = df.columns
     names, one = ", ".join(f'"{c}"' for c in columns), "(" + ", ".join([mark] * len(columns)) + ")"
@@ -53,7 +54,7 @@ def insert_rows(df: DataFrame, connect: Callable[[], Any], table: str, key: str,
         finally:
             connection.close()
 
-    df.foreachPartition(run)
+    (df.repartition(writers) if writers else df).foreachPartition(run)
 
 
 def probe(connect: Callable[[], Any], table: str) -> None:

@@ -79,6 +79,20 @@ def client_total(servers: DataFrame, *by: str) -> DataFrame:
     return servers.groupBy(*by).agg(F.sum("max_clients").alias("clients"))
 
 
+def file_times(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and seconds of the last change of key files, of their metadata alone."""
+    return spark.read.format("binaryFile").load(paths).select("path", F.unix_timestamp("modificationTime").alias("changed"))
+
+
+def enabled(servers: DataFrame) -> DataFrame:
+    return servers.where("is_enabled")
+
+
+def server(servers: DataFrame, interface: str) -> DataFrame:
+    """The server of an interface."""
+    return servers.where(F.col("listen_interface") == interface)
+
+
 def typed(config: Column, spec: dict[str, tuple[str, bool]]) -> tuple[dict[str, Column], Column]:
     """Columns of a JSON object by name, type (int, string or bool) and whether they may be missing, and the error of the first that is missing or mistyped.
 
@@ -86,7 +100,7 @@ def typed(config: Column, spec: dict[str, tuple[str, bool]]) -> tuple[dict[str,
     """
     made, errors = {}, []
     for name, (kind, optional) in spec.items():
-        raw = F.get(F.from_json(config, "map<string,variant>"), F.lit(name)) if False else F.try_variant_get(F.try_parse_json(config), f"$.{name}", "variant")
+        raw = F.try_variant_get(F.try_parse_json(config), f"$.{name}", "variant")
         of = F.schema_of_variant(raw)
         wanted = {"int": of.rlike("^(BIGINT|DECIMAL.*|DOUBLE)$"), "string": of == "STRING", "bool": of == "BOOLEAN"}[kind]
         value = {"int": lambda r: F.try_variant_get(r, "$", "double").cast("bigint"), "string": lambda r: F.try_variant_get(r, "$", "string"), "bool": lambda r: F.try_variant_get(r, "$", "boolean")}[kind](raw)

@@ -19,13 +19,12 @@ def stream_sessions(lines: DataFrame, options: ServerOptions, idle_ms: int | Non
 
     A session's state is what the machine holds between two lines, one message at most. Lines of a session are put in order within
     each micro-batch; one that comes after a later line of its session was answered is late, and has state `late` and no reply.
-    A session that gets no line for `idle_ms` (by default the server's timeout) is forgotten.
+    With `idle_ms`, a session that gets no line for so long is forgotten; Spark then runs batches for the clock alone, so such a query
+    needs a processing-time trigger, and never ends under availableNow.
     """
     have = set(lines.columns)
     rows = lines.select("session_id", "seq", F.coalesce("line", F.lit("")).alias("line"), F.col("remote_ip") if "remote_ip" in have else F.lit("").alias("remote_ip"))
     rows = with_commands(rows, options).withColumn("queued_id", fn.queue_id(F.col("session_id").cast("bigint")))
-    wait = idle_ms or 1000 * options.timeout
-
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -43,11 +42,12 @@ def stream_sessions(lines: DataFrame, options: ServerOptions, idle_ms: int | Non
             reply, message = session.take(row["line"], {c: None if isinstance(row[c], float) else row[c] for c in FIELDS}, options)
             out.append((key[0], row["seq"], before, row["verb"], reply, message))
         state.update((pickle.dumps((session, last)),))
-        state.setTimeoutDuration(wait)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "seq", "state", "verb", "reply", "message"])
 
     schema = f"session_id bigint, seq bigint, state string, verb string, reply string, message {MESSAGE}"
-    done = rows.groupBy("session_id").applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    done = rows.groupBy("session_id").applyInPandasWithState(run, schema, "held binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
     return done.withColumn("code", F.when(F.col("reply").isNotNull(), fn.result_code(F.col("reply"))))
 
 
