@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: What one broadcast may hold. Larger inputs take the other way that the operator names.
+#: What one broadcast may hold. A larger parameter (a vocabulary, a list of rules) is refused with an error that says what to do.
 MAX_BROADCAST_BYTES = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -135,13 +135,16 @@ class Part:
             window = np.empty(len(windows), np.int64)
             window[node] = rows
             self.plans[n] = (root, turns, window)
-        # a window's terms as sets, rarest first, for proximity; equal sets are one
+        # a window's terms as sets, rarest first (then by their bytes), for proximity; equal sets are one
+        place = np.empty(self.size, np.int64)
+        place[np.argsort(np.array(self.terms.to_pylist(), object), kind="stable")] = np.arange(self.size)
+        key = list(zip(counts.tolist(), place.tolist(), strict=True))
         sets: dict[tuple[int, ...], set[int]] = {}
         for n, windows in self.windows.items():
             ids, many = self.items[n]
             ends = np.cumsum(many).tolist()
             for row, i, j in zip(windows.tolist(), [0, *ends], ends, strict=False):
-                sets.setdefault(tuple(sorted(set(row), key=lambda t: (counts[t], t))), set()).update(ids[i:j].tolist())
+                sets.setdefault(tuple(sorted(set(row), key=key.__getitem__)), set()).update(ids[i:j].tolist())
         self.near_sets = list(sets)
         self.near_items = [sorted(x) for x in sets.values()]
 
@@ -385,6 +388,28 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near"))
 
 
+ORACLE_SQL = r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS word),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), word) AS ws FROM documents, low),
+i AS (SELECT item_id, regexp_extract_all(translate(text, u, l), word) AS ws FROM benchmark, low WHERE item_id IS NOT NULL AND text IS NOT NULL),
+t AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS w FROM d),
+win AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda k: ws[k:k + n - 1])) AS win FROM (SELECT *, least(10, len(ws)) AS n FROM i WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS pos, unnest(list_transform(range(1, len(ws) - n + 2), lambda k: ws[k:k + n - 1])) AS win FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+hits AS (SELECT doc_id, pos, n, item_id FROM dw JOIN win USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+sets AS (SELECT DISTINCT item_id, list_sort(list_distinct(win)) AS terms FROM win),
+counted AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+rarest AS (SELECT item_id, terms, first(x ORDER BY coalesce(c, 0), x) AS rare FROM (SELECT item_id, terms, unnest(terms) AS x FROM sets) LEFT JOIN counted ON w = x GROUP BY item_id, terms),
+near AS (SELECT r.item_id, t.doc_id, t.pos, r.terms, unnest(r.terms) AS x FROM rarest r JOIN t ON t.w = r.rare),
+found AS (SELECT near.item_id, near.doc_id FROM near JOIN t ON t.doc_id = near.doc_id AND t.w = near.x AND abs(t.pos - near.pos) <= 20
+  GROUP BY near.item_id, near.doc_id, near.pos, near.terms HAVING count(DISTINCT near.x) = len(near.terms)),
+nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)
+"""
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without any benchmark window, with all their columns, whatever their names."""
     index = build_index(docs, text)

@@ -664,6 +664,22 @@ def op3_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), links=True)
 
 
+#: For tables whose doc_ids are distinct. Links by all pairs that share a shingle; components by following links from every document.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, hash(unnest(sh)) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * o >= 75 * (len(x.sh) + len(y.sh) - o)),
+n AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(doc_id, comp) AS (SELECT doc_id, doc_id FROM s UNION SELECT n.b, c.comp FROM c JOIN n ON n.a = c.doc_id),
+m AS (SELECT doc_id, min(comp) AS component_id FROM c GROUP BY doc_id),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM n GROUP BY a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM s JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns, whatever their names: of the smallest doc_id (null last), the text with the smallest digest.
 

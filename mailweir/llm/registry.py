@@ -15,4 +15,7 @@ QUERIES = {
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
-ORACLES = {"op1_warc_round_trip": warc.ORACLE_SQL, "op6_url_filters": urls.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL}
+ORACLES = {
+    "op1_warc_round_trip": warc.ORACLE_SQL, "op2_decontamination": decontaminate.ORACLE_SQL, "op3_jaccard_components": jaccard.ORACLE_SQL,
+    "op6_url_filters": urls.ORACLE_SQL, "op8_exact_top_k": topk.ORACLE_SQL,
+}

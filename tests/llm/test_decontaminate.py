@@ -83,18 +83,15 @@ def test_near_matches(spark, within):
     texts += [[word() for _ in range(30)] + w[3:40] for _, w in items[4:]]
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id bigint, text string")
-    count, number = {}, {}
+    count = {}
     for w in texts:
         for x in w:
             count[x] = count.get(x, 0) + 1
-    for _, w in items:
-        for x in w:
-            number.setdefault(x, len(number))
     size, want = min(10, within + 1), {}
     for i, w in items:
         for k in range(max(len(w) - size + 1, min(len(w), 1))):
             window = set(w[k : k + size])
-            rarest = min(window, key=lambda x: (count.get(x, 0), number[x]))
+            rarest = min(window, key=lambda x: (count.get(x, 0), x))
             for d, t in enumerate(texts):
                 for at, x in enumerate(t):
                     if x == rarest and window <= set(t[max(0, at - within) : at + within + 1]):
