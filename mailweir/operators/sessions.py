@@ -77,9 +77,13 @@ def byte_totals(df: DataFrame, by: str, *texts: str) -> DataFrame:
     return df.groupBy(by).agg(F.sum(one).alias("bytes"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "client_id") -> DataFrame:
-    """Rows with a number from 1 without gaps in their order: counts of ranges of rows, then places within them; no task holds all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
-    before = sizes.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_first", "_before")
+def numbered(df: DataFrame, order: list[str], block: Column, name: str = "client_id") -> DataFrame:
+    """Rows with a number from 1 without gaps in their order.
+
+    `block` never falls along the order (an hour of a time stamp, say): counts of blocks, then places within them, so no task holds more than a block.
+    """
+    blocks = df.withColumn("_block", block)
+    sizes = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # a row for each block
+    within = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return blocks.withColumn("_within", within).join(before, "_block").withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_within", "_before")

@@ -673,4 +673,5 @@ def q63_byte_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS client_id FROM events")
 def q64_client_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers without gaps in the order of arrival."""
-    return sessions.numbered(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "client_id")
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    return sessions.numbered(events, ["ts", "event_id"], F.date_trunc("hour", F.col("ts").cast("timestamp"))).select("event_id", "client_id")
