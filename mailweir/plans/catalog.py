@@ -446,9 +446,9 @@ def q42_header_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 6 == 0, spec).when(k % 6 == 1, F.concat(F.lit('"'), F.col("c_name"), F.lit('" <'), spec, F.lit(">"))).when(k % 6 == 2, 'Q. Name <"x y"@[192.0.2.1]>, next@a.example')
         .when(k % 6 == 3, "the group: one@a.example, Two <two@b.example>,three@c.example;").when(k % 6 == 4, "nobody: ;").otherwise(F.concat(F.col("c_name"), F.lit(" <nowhere>")))
     )
-    found = table(spark, sf_dir, "customer").select("c_custkey", addresses.address_list(text).alias("l"), addresses.first_address_text(text).alias("first"))
+    found = table(spark, sf_dir, "customer").select("c_custkey", addresses.address_list(text).alias("l"))
     one = F.get(F.col("l.list"), F.lit(0))
-    return found.select("c_custkey", "first", one["display_name"].alias("display_name"), F.col("l.group").alias("group_name"), F.size("l.list").alias("members"))
+    return found.select("c_custkey", addresses.mailbox_text(one).alias("first"), one["display_name"].alias("display_name"), F.col("l.group").alias("group_name"), F.size("l.list").alias("members"))
 
 
 @query("""

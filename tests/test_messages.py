@@ -78,6 +78,16 @@ def test_addresses(spark):
     assert values(spark, texts, addresses.first_address_text) == texts
 
 
+def test_long_names_without_a_mailbox(spark):
+    """Each would take years if a run of atoms, spaces or words could be cut in more than one way."""
+    name, many = "Customer#" + "0" * 40, '"Q" ' + "word " * 40
+    cases = dict.fromkeys([f"{name} <nowhere>", f"{many}<nowhere>", f"{name}{' ' * 60}(", f"{many}: {name} <nowhere>;", f"{many}: {name} <a@b.example>, {many}<nowhere>;", name], None)
+    assert values(spark, cases, addresses.address_list) == cases
+    good = f"{many}: {name} <a@b.example> , {many}<c@d.example>\t;"
+    found = values(spark, [good], addresses.address_list)[good]
+    assert [m["display_name"] for m in found["list"]] == [name, "Q " + "word " * 39 + "word"] and found["group"] == "Q " + "word " * 39 + "word"
+
+
 def test_encoded_words():
     cases = {
         "=?ISO-8859-1?Q?Caf=E9?= au lait": "Café au lait", "plain": "plain", None: None, "at the end =?ISO-8859-1?Q?Caf=E9?=": "at the end Café",
