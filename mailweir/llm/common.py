@@ -47,21 +47,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/mailweir-{label}-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: For tables of large rows: the sizes of pages and row groups are looked at after each row, not only after a hundred.
+_LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, batch_bytes: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files of the write go when it ends, as nothing reads them again.
+    The shuffle files of the write go when it ends, as nothing reads them again. With `batch_bytes`, functions in it get Arrow batches of about
+    that size, one row at least, however large the partitions are, and the files are laid out for large rows.
     """
     spark = df.sparkSession
-    path, before = fresh_path(spark, label), spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    path, held = fresh_path(spark, label), {_CLEANUP: "true"} | ({_BATCH: str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.options(**(_LARGE_ROWS if batch_bytes else {})).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before or "false")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     back = spark.read.schema(df.schema).parquet(path)
     back._mailweir_path = path
     return back

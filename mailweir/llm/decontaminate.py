@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from mailweir.llm.bpe import gathered
-from mailweir.llm.common import lean, read_table, slices, stored
+from mailweir.llm.common import discard, lean, read_table, slices, stored
 
 WINDOW, WITHIN = 10, 20
 #: Bytes of benchmark text that are searched for at a time.
@@ -89,7 +89,7 @@ def build_index(docs: DataFrame, text: str = "text", keep: list[str] | None = No
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], ["block", "terms", "counts", "positions", "firsts", "rows"])
                 number += 1
 
-    return stored(docs.mapInArrow(lean(run), _INDEX), "postings")
+    return stored(docs.mapInArrow(lean(run), _INDEX), "postings", BLOCK_BYTES)
 
 
 class Part:
@@ -420,5 +420,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
         if len(clean):
             yield clean
 
-    return _searched(index, search, docs.schema, docs.columns, [], emit)
+    clean = stored(_searched(index, search, docs.schema, docs.columns, [], emit), "clean", BLOCK_BYTES)  # here, as a block with its texts has some MB
+    discard(index)
+    return clean
 

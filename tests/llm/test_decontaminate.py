@@ -1,8 +1,11 @@
 """Decontamination against brute force: phrases, near matches, odd texts, clashing columns, and common words."""
 
 import hashlib
+import os
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 
@@ -135,3 +138,28 @@ def test_windows_of_common_words_in_a_long_text():
     flat = text.split()
     for s, w in found[:: 5000].tolist():
         assert [part.terms[int(t)].as_py().decode() for t in part.windows[10][w]] == flat[s : s + 10]
+
+
+def test_large_partitions_come_in_small_batches(spark, tmp_path, monkeypatch):
+    """Texts of 2 MB in one partition: no function of the filter gets much more than a block of them at once."""
+    real, name = decontaminate.lean, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def watched(run):
+        def looked(batches):
+            for k, batch in enumerate(batches):
+                Path(f"{tmp_path}/{os.getpid()}-{time.time_ns()}-{k}").write_text(str(batch.nbytes))
+                yield from run(iter([batch]))
+
+        return real(looked)
+
+    monkeypatch.setattr(decontaminate, "lean", watched)
+    texts = [f"text{i} " + " ".join(f"w{(i + k) % 997}" for k in range(430_000)) for i in range(12)]
+    texts[5] += " one leaked window of words"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "leaked window of words")], "item_id bigint, text string")
+    before = spark.conf.get(name, None)
+    kept = decontaminate.keep_clean(docs, items)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [i for i in range(12) if i != 5]
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(sizes) > 40 << 20 and max(sizes) < 12 << 20
+    assert spark.conf.get(name, None) == before
